@@ -197,11 +197,12 @@ def travel_load(
     return out.select(*games.columns, *[c for c in out.columns if "TravelDistance" in c])
 
 
-def pair_days(games: DataFrame, scenario: str | None = None) -> DataFrame:
+def pair_days(games: DataFrame, scenario: str | None = None, latest: bool = False) -> DataFrame:
     """Playoff wins of each pair per day, and before that day.
 
     A pair is unordered: `teamLow` sorts before `teamHigh`. Games are summed per
-    day first, so the running window sees one row per pair and day.
+    day first, so the running window sees one row per pair and day. `latest`
+    adds the day's last played game.
     """
     keys = [*lead(scenario), "seasonName", "teamLow", "teamHigh"]
     home, away = F.col("homeTeamName"), F.col("awayTeamName")
@@ -210,14 +211,16 @@ def pair_days(games: DataFrame, scenario: str | None = None) -> DataFrame:
     home_is_low = home <= away
     low_won = (home_is_low & home_won) | (~home_is_low & away_won)
     high_won = (home_is_low & away_won) | (~home_is_low & home_won)
+    sums = [F.sum(low_won.cast("long")).alias("lowWins"), F.sum(high_won.cast("long")).alias("highWins")]
+    if latest:
+        game = F.struct("gameId", "homeTeamName", "awayTeamName", "homeTeamScore", "awayTeamScore")
+        clock = F.when(F.col("lastPeriod").isNotNull(), F.struct("gameTimeEST", "gameId"))
+        sums.append(F.max_by(game, clock).alias("lastGame"))
     days = (
         games.where((F.col("gameType") == PLAYOFF) & F.col("gameDate").isNotNull())
         .withColumns({"teamLow": F.least(home, away), "teamHigh": F.greatest(home, away)})
         .groupBy(*keys, "gameDate")
-        .agg(
-            F.sum(low_won.cast("long")).alias("lowWins"),
-            F.sum(high_won.cast("long")).alias("highWins"),
-        )
+        .agg(*sums)
     )
     earlier = (
         Window.partitionBy(*keys)

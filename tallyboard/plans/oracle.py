@@ -387,4 +387,422 @@ LEFT JOIN series_games s ON s.gameId = f.gameId""",
         "venues",
         "series_games",
     )
+
+    # Bracket and series.
+    add("first_round", "SELECT * FROM round1", "round1")
+    add(
+        "latest_series_game",
+        """SELECT seasonName, teamLow, teamHigh, CAST(gameDate AS VARCHAR) AS gameDate, gameId,
+  CAST(homePrior AS BIGINT) AS homeTeamSeriesScore, CAST(awayPrior AS BIGINT) AS awayTeamSeriesScore
+FROM (SELECT *, row_number() OVER (PARTITION BY seasonName, teamLow, teamHigh
+              ORDER BY gameDate DESC, gameTimeEST DESC, gameId DESC) AS latest FROM series_games
+      WHERE lastPeriod IS NOT NULL) WHERE latest = 1""",
+        "series_games",
+    )
+    loser_wins = "CASE WHEN lastWinner = teamLow THEN highWins ELSE lowWins END"
+    loser = "CASE WHEN lastWinner = teamLow THEN teamHigh ELSE teamLow END"
+    add(
+        "series_state",
+        f"""SELECT seasonName, teamLow, teamHigh, lastGameId, CAST(lastGameDate AS VARCHAR) AS lastGameDate,
+  CAST(lowWins AS BIGINT) AS lowWins, CAST(highWins AS BIGINT) AS highWins, decided,
+  CASE WHEN decided THEN lastWinner END AS winner, CASE WHEN decided THEN {loser} END AS loser,
+  CASE WHEN decided THEN CAST({loser_wins} AS BIGINT) END AS loserWins,
+  CASE WHEN decided THEN '2-' || CAST({loser_wins} AS VARCHAR) END AS scoreText FROM series""",
+        "series",
+    )
+    add(
+        "series_state_best_of_7",
+        f"""SELECT seasonName, teamLow, teamHigh, CAST(lowWins AS BIGINT) AS lowWins, CAST(highWins AS BIGINT) AS highWins,
+  over AS decided, CASE WHEN over THEN lastWinner END AS winner,
+  CASE WHEN over THEN CAST({loser_wins} AS BIGINT) END AS loserWins
+FROM (SELECT s.*, (g.homePrior = 3 AND g.homeTeamScore > g.awayTeamScore)
+               OR (g.awayPrior = 3 AND g.awayTeamScore > g.homeTeamScore) AS over
+      FROM series s JOIN series_games g ON g.gameId = s.lastGameId)""",
+        "series",
+    )
+    results = f"""SELECT b.*, CAST(coalesce(CASE WHEN b.team1 = s.teamLow THEN s.lowWins ELSE s.highWins END, 0) AS BIGINT) AS team1Wins,
+  CAST(coalesce(CASE WHEN b.team1 = s.teamLow THEN s.highWins ELSE s.lowWins END, 0) AS BIGINT) AS team2Wins,
+  coalesce(s.decided, FALSE) AS decided, CASE WHEN s.decided THEN s.lastWinner END AS winner,
+  CASE WHEN s.decided THEN {loser} END AS loser,
+  CASE WHEN s.decided THEN '2-' || CAST({loser_wins} AS VARCHAR) END AS scoreText
+FROM round1 b LEFT JOIN series s ON s.seasonName = b.seasonName
+ AND s.teamLow = least(b.team1, b.team2) AND s.teamHigh = greatest(b.team1, b.team2)"""
+    add(
+        "bracket_results",
+        f"SELECT seasonName, round, slot, team1, team2, team1Wins, team2Wins, decided, winner, loser, scoreText FROM ({results})",
+        "round1",
+        "series",
+    )
+    carried = f"""SELECT seasonName, slot, conferenceName, divisionName, coalesce(winner, team1) AS team,
+  CASE WHEN coalesce(winner, team1) = team1 THEN team1ConferenceSeed ELSE team2ConferenceSeed END AS seed FROM ({results})"""
+    add(
+        "next_round",
+        f"""SELECT a.seasonName, 2 AS round, CAST(a.slot / 2 AS INT) AS slot, a.conferenceName, a.divisionName,
+  a.team AS team1, b.team AS team2, a.seed AS team1ConferenceSeed, b.seed AS team2ConferenceSeed
+FROM ({carried}) a JOIN ({carried}) b ON b.seasonName = a.seasonName AND b.slot = a.slot + 1 AND a.slot % 2 = 0""",
+        "round1",
+        "series",
+    )
+    # From round 2 on the first team advances, so the finalists won slots 0 and 4.
+    finalists = f"""SELECT a.seasonName, a.team AS team1, b.team AS team2, a.seed AS seed1, b.seed AS seed2, a.conferenceName
+FROM ({carried}) a JOIN ({carried}) b ON b.seasonName = a.seasonName AND a.slot = 0 AND b.slot = 4"""
+    add(
+        "next_round_final",
+        f"""SELECT seasonName, 4 AS round, 0 AS slot, team1, team2, seed1 AS team1ConferenceSeed,
+  seed2 AS team2ConferenceSeed FROM ({finalists})""",
+        "round1",
+        "series",
+    )
+    add(
+        "rounds_completed",
+        f"""SELECT seasonName, round, count(*) AS series, CAST(sum(CASE WHEN decided THEN 1 ELSE 0 END) AS BIGINT) AS decidedSeries,
+  bool_and(decided) AS complete FROM ({results}) GROUP BY seasonName, round""",
+        "round1",
+        "series",
+    )
+    pairs = """SELECT gameId % 20 AS iteration, seasonName, homeTeamName, awayTeamName,
+  min(CAST(gameDate AS VARCHAR) || lpad(CAST(gameTimeEST AS VARCHAR), 5, '0') || lpad(CAST(gameId AS VARCHAR), 20, '0')) AS seen
+FROM games WHERE gameType = 3 GROUP BY ALL"""
+    rounds = f"""SELECT iteration, seasonName, count(*) AS pairs,
+  CASE WHEN count(*) >= 30 THEN 4 WHEN count(*) >= 28 THEN 3 WHEN count(*) >= 24 THEN 2 WHEN count(*) >= 16 THEN 1 ELSE 0 END AS roundsScheduled,
+  CASE WHEN count(*) >= 30 THEN 30 WHEN count(*) >= 28 THEN 28 WHEN count(*) >= 24 THEN 24 WHEN count(*) >= 16 THEN 16 ELSE 0 END AS covered
+FROM ({pairs}) GROUP BY iteration, seasonName"""
+    add(
+        "rounds_scheduled",
+        f"SELECT iteration, seasonName, pairs, roundsScheduled, pairs <> covered AS partialRound FROM ({rounds})",
+        "games",
+    )
+    add(
+        "partial_round_games",
+        f"""SELECT g.gameId % 20 AS iteration, g.gameId, g.seasonName FROM games g
+JOIN (SELECT *, row_number() OVER (PARTITION BY iteration, seasonName ORDER BY seen DESC) AS back FROM ({pairs})) p
+  ON p.iteration = g.gameId % 20 AND p.seasonName = g.seasonName
+ AND p.homeTeamName = g.homeTeamName AND p.awayTeamName = g.awayTeamName
+JOIN ({rounds}) r ON r.iteration = p.iteration AND r.seasonName = p.seasonName AND p.back <= r.pairs - r.covered
+WHERE g.gameType = 3""",
+        "games",
+    )
+    coarse = "CAST(floor(gameTimeEST / 240) * 240 AS INT)"
+    starts = f"""SELECT seasonName, venue, usualStart FROM (
+  SELECT *, row_number() OVER (PARTITION BY seasonName, venue ORDER BY n DESC, usualStart) AS place FROM (
+    SELECT seasonName, venue, {coarse} AS usualStart, count(*) AS n FROM timed GROUP BY ALL) WHERE n > 5) WHERE place = 1"""
+    homes = """SELECT seasonName, teamName, venue, venueTimezone FROM (
+  SELECT *, row_number() OVER (PARTITION BY seasonName, teamName ORDER BY n DESC, venue, venueTimezone) AS place FROM (
+    SELECT seasonName, homeTeamName AS teamName, venue, venueTimezone, count(*) AS n FROM timed GROUP BY ALL)
+  WHERE n > 20) WHERE place = 1"""
+    add("usual_start", starts, "timed")
+    add("home_venue", homes, "timed")
+
+    def calendar(pair_rows: str, offsets: tuple[int, ...], begun: str) -> str:
+        steps = ", ".join(f"({i}, {d}, {h})" for i, (d, h) in enumerate(zip(offsets, (1, 1, 2, 2, 1, 2, 1))))
+        return f"""SELECT x.seasonName, x.round, x.slot, CAST(x.pos + 1 AS INT) AS gameNumber, CAST(x.day AS VARCHAR) AS gameDate,
+  x.home AS homeTeamName, x.away AS awayTeamName, h.venue, h.venueTimezone, u.usualStart AS gameTimeEST, 3 AS gameType
+FROM (SELECT p.seasonName, p.round, p.slot, o.pos,
+        CAST(coalesce(b.first, l.last + 2 + p.late) + o.days AS DATE) AS day,
+        CASE o.host WHEN 1 THEN p.team1 ELSE p.team2 END AS home, CASE o.host WHEN 1 THEN p.team2 ELSE p.team1 END AS away
+      FROM ({pair_rows}) p JOIN (SELECT seasonName, max(gameDate) AS last FROM games GROUP BY seasonName) l
+        ON l.seasonName = p.seasonName
+      LEFT JOIN ({begun}) b ON b.seasonName = p.seasonName AND b.team1 = p.team1
+      CROSS JOIN (SELECT * FROM (VALUES {steps}) q(pos, days, host)) o
+      WHERE o.pos >= coalesce(b.done, 0)) x
+LEFT JOIN ({homes}) h ON h.seasonName = x.seasonName AND h.teamName = x.home
+LEFT JOIN ({starts}) u ON u.seasonName = x.seasonName AND u.venue = h.venue"""
+
+    none_begun = "SELECT '' AS seasonName, '' AS team1, CAST(NULL AS DATE) AS first, 0 AS done WHERE FALSE"
+    opening = """SELECT seasonName, homeTeamName AS team1, min(gameDate) AS first, count(*) AS done FROM games
+  WHERE month(gameDate) = 10 AND day(gameDate) <= 5 GROUP BY ALL"""
+    opened = "SELECT *, CASE WHEN conferenceName = 'Western' THEN 1 ELSE 0 END AS late FROM round1"
+    regular_offsets = (0, 2, 5, 7, 10, 12, 15)
+    add("series_schedule", calendar(opened, regular_offsets, none_begun), "timed", "round1")
+    add("series_schedule_begun", calendar(opened, regular_offsets, opening), "timed", "round1")
+    add(
+        "series_schedule_final",
+        calendar(
+            f"SELECT seasonName, 4 AS round, 0 AS slot, team1, team2, 0 AS late FROM ({finalists})",
+            (0, 3, 6, 9, 12, 15, 18),
+            none_begun,
+        ),
+        "timed",
+        "round1",
+        "series",
+    )
+    add(
+        "prune_decided",
+        """SELECT gameId, seasonName FROM games g WHERE NOT EXISTS (SELECT 1 FROM series s WHERE s.decided
+  AND s.seasonName = g.seasonName AND s.teamLow = least(g.homeTeamName, g.awayTeamName)
+  AND s.teamHigh = greatest(g.homeTeamName, g.awayTeamName) AND g.gameDate > s.lastGameDate)""",
+        "series",
+    )
+
+    # Stored forecasts.
+    add(
+        "read_snapshots",
+        """SELECT CAST(predDate AS VARCHAR) AS predDate, kind, gameId FROM (
+  SELECT *, max(kind) OVER (PARTITION BY predDate) AS wanted FROM (
+    SELECT *, CASE WHEN dayofyear(predDate) % 5 = 0 OR gameId % 3 = 0 THEN 'playoff' ELSE 'regularseason' END AS kind
+    FROM snapshots WHERE predDate >= DATE '1996-01-01' AND predDate < DATE '2000-01-01')) WHERE kind = wanted""",
+        "snapshots",
+    )
+
+    def hit(home: str, away: str, home_p: str, away_p: str) -> str:
+        return (
+            f"CASE WHEN ({home} > {away} AND {home_p} > {away_p}) OR ({home} < {away} AND {home_p} < {away_p}) "
+            f"OR ({home} = {away} AND {home_p} = {away_p}) THEN 1 ELSE 0 END"
+        )
+
+    add(
+        "correct_outcome",
+        f"SELECT gameId, {hit('homeTeamScore', 'awayTeamScore', '(gameId % 5)', '((gameId * 3) % 4)')} AS correctOutcome FROM games",
+        "games",
+    )
+    compared = f"""SELECT p.gameId, p.gameDate, p.homeTeamName, p.awayTeamName,
+  p.homeTeamScore AS homeTeamScore_predicted, p.awayTeamScore AS awayTeamScore_predicted,
+  a.homeTeamScore AS homeTeamScore_actual, a.awayTeamScore AS awayTeamScore_actual, a.lastPeriod AS lastPeriod_actual,
+  {hit('a.homeTeamScore', 'a.awayTeamScore', 'p.homeTeamScore', 'p.awayTeamScore')} AS correctOutcome, p.predDate
+FROM snapshots p JOIN games a ON a.gameId = p.gameId"""
+    shown = f"SELECT * EXCLUDE (predDate, gameDate), CAST(gameDate AS VARCHAR) AS gameDate FROM ({compared})"
+    own_day = f"({compared} WHERE p.gameDate = p.predDate)"
+    add("snapshot_accuracy", f"{shown} WHERE gameDate = predDate", "snapshots")
+    add(
+        "compare_results",
+        f"""{shown} WHERE homeTeamScore_actual IS NOT NULL AND awayTeamScore_actual IS NOT NULL
+ AND gameDate >= DATE '1996-01-01' AND gameDate < DATE '2001-01-01'""",
+        "snapshots",
+    )
+    daily = "round(avg(correctOutcome), 6) AS accuracy, CAST(sum(correctOutcome) AS BIGINT) AS correct, count(*) AS games"
+    finished = f"({compared} WHERE a.homeTeamScore IS NOT NULL AND a.awayTeamScore IS NOT NULL)"
+    add(
+        "daily_accuracy",
+        f"""SELECT CAST(gameDate AS VARCHAR) AS gameDate, {daily} FROM {finished} GROUP BY gameDate
+UNION ALL SELECT NULL, {daily} FROM {finished}""",
+        "snapshots",
+    )
+    priced = f"""SELECT c.*, o.homeTeamOdds, o.awayTeamOdds FROM {own_day} c LEFT JOIN odds o
+  ON o.gameId = c.gameId AND o.homeTeamName = c.homeTeamName AND o.awayTeamName = c.awayTeamName"""
+    add("with_odds", f"SELECT gameId, correctOutcome, homeTeamOdds, awayTeamOdds FROM ({priced})", "snapshots", "odds")
+    add(
+        "missing_odds",
+        f"SELECT count(*) FILTER (homeTeamOdds IS NULL) + count(*) FILTER (awayTeamOdds IS NULL) AS missingOdds FROM ({priced})",
+        "snapshots",
+        "odds",
+    )
+    returns = f"""SELECT *, CASE WHEN winnerOdds > 0 THEN winnerOdds / 100 WHEN winnerOdds < 0 THEN 100 / abs(winnerOdds)
+  ELSE -1.0 END AS winnings FROM (SELECT *, CASE WHEN correctOutcome = 1 AND homeTeamScore_predicted > awayTeamScore_predicted THEN homeTeamOdds
+  WHEN correctOutcome = 1 AND homeTeamScore_predicted < awayTeamScore_predicted THEN awayTeamOdds ELSE 0.0 END AS winnerOdds FROM ({priced}))"""
+    add("unit_return", f"SELECT gameId, winnerOdds, round(winnings, 6) AS winnings FROM ({returns})", "snapshots", "odds")
+    add(
+        "unit_return_skip",
+        f"SELECT gameId, CASE WHEN winnerOdds IS NOT NULL THEN round(winnings, 6) END AS winnings FROM ({returns})",
+        "snapshots",
+        "odds",
+    )
+    add(
+        "daily_returns",
+        f"""SELECT CAST(gameDate AS VARCHAR) AS gameDate, games, correct, round(winnings, 6) AS winnings, dayClass,
+  round(sum(winnings) OVER (ORDER BY gameDate), 6) AS runningReturn
+FROM (SELECT gameDate, count(*) AS games, CAST(sum(correctOutcome) AS BIGINT) AS correct, sum(winnings) AS winnings,
+  CASE WHEN min(correctOutcome) = 1 THEN 'all_right' WHEN max(correctOutcome) = 0 THEN 'all_wrong' ELSE 'mixed' END AS dayClass
+  FROM ({returns}) GROUP BY gameDate)""",
+        "snapshots",
+        "odds",
+    )
+    sse = "sum(pow({a} - {p}, 2))".format
+    sst = "sum(pow({a} - {m}, 2))".format
+    add(
+        "regression_metrics",
+        f"""SELECT CAST(y AS INT) AS seasonOf, count(*) AS games,
+  round(({sse(a='ha', p='hp')} + {sse(a='aa', p='ap')}) / count(*) / 2, 6) AS mse,
+  round((1 - {sse(a='ha', p='hp')} / {sst(a='ha', m='hm')} + 1 - {sse(a='aa', p='ap')} / {sst(a='aa', m='am')}) / 2, 6) AS r2,
+  round(avg(correctOutcome), 6) AS accuracy
+FROM (SELECT year(gameDate) AS y, homeTeamScore_actual AS ha, homeTeamScore_predicted AS hp, awayTeamScore_actual AS aa,
+        awayTeamScore_predicted AS ap, correctOutcome,
+        avg(homeTeamScore_actual) OVER (PARTITION BY year(gameDate)) AS hm,
+        avg(awayTeamScore_actual) OVER (PARTITION BY year(gameDate)) AS am
+      FROM {own_day} WHERE homeTeamScore_actual IS NOT NULL AND awayTeamScore_actual IS NOT NULL) GROUP BY y""",
+        "snapshots",
+    )
+
+    # Outcomes over scenarios.
+    seeds = ("div_1", "div_2", "div_3", "wc_1", "wc_2", "missed")
+    stages = {"make_round_2": 1, "make_round_3": 2, "make_cup_final": 3, "win_cup": 4}
+    count_of = {s: f"count(*) FILTER (playoffSeed = '{s}')" for s in seeds}
+    count_of |= {s: f"count(*) FILTER (roundsWon >= {k})" for s, k in stages.items()}
+    total = "(SELECT count(DISTINCT iteration) FROM outcomes)"
+
+    def tally(names: tuple[str, ...], source: str, raw: bool = True) -> str:
+        picks = [f"{count_of[n]} AS {n}" for n in names] if raw else []
+        picks += [f'round({count_of[n]} * 100.0 / {total}, 6) AS "{n}_%"' for n in names]
+        if "missed" in names:
+            picks.append(f'round(({total} - {count_of["missed"]}) * 100.0 / {total}, 6) AS "playoff_%"')
+        return f"SELECT teamName, {', '.join(picks)} FROM {source} GROUP BY teamName"
+
+    league = "(SELECT t.teamName, o.playoffSeed, o.roundsWon FROM teams t LEFT JOIN outcomes o ON o.teamName = t.teamName)"
+    everything = (*seeds, *stages)
+    add("seed_probabilities", tally(seeds, league), "outcomes", "teams")
+    add("round_probabilities", tally(tuple(stages), league), "outcomes", "teams")
+    add("outcome_probabilities", tally(everything, "outcomes"), "outcomes")
+    add("probability_report", tally(seeds, league, raw=False), "outcomes", "teams")
+
+    def rings(position: str) -> str:
+        parts = [f"SELECT teamName, 'playoff_%' AS ring, ({total} - {count_of['missed']}) * 100.0 / {total} AS percent FROM outcomes GROUP BY teamName"]
+        parts += [
+            f"SELECT teamName, '{s}_%', {count_of[s]} * 100.0 / {total} FROM outcomes GROUP BY teamName" for s in stages
+        ]
+        return f"""SELECT *, sum(share) OVER (PARTITION BY ring ORDER BY {position} ROWS UNBOUNDED PRECEDING) * 360 AS endAngle
+FROM (SELECT r.*, n.n_nationkey, percent / sum(percent) OVER (PARTITION BY ring) AS share
+      FROM ({' UNION ALL '.join(parts)}) r JOIN nation n ON n.n_name = r.teamName)"""
+
+    angles = "round(endAngle - share * 360, 4) AS startAngle, round(endAngle, 4) AS endAngle"
+    add(
+        "ring_shares",
+        f"SELECT ring, teamName, round(percent, 6) AS percent, round(share, 6) AS share, {angles} FROM ({rings('teamName')})",
+        "outcomes",
+    )
+    add("ring_shares_by_slot", f"SELECT ring, teamName, {angles} FROM ({rings('n_nationkey DESC')})", "outcomes")
+    add(
+        "alive_teams",
+        f'SELECT teamName, "make_cup_final_%" FROM ({tally(everything, "outcomes")}) WHERE "make_cup_final_%" > 0',
+        "outcomes",
+    )
+    add(
+        "latest_run",
+        """SELECT event_id, CAST(predDate AS VARCHAR) AS predDate, n FROM (
+  SELECT *, max(n) OVER (PARTITION BY predDate) AS top FROM (
+    SELECT event_id, CAST(ts AS DATE) AS predDate, event_id % 3 * 100 + 100 AS n FROM events)) WHERE n = top""",
+    )
+
+    # Sources, sinks, refresh.
+    add(
+        "read_games",
+        """SELECT gameId, seasonName, gameType, CAST(startTimeUTC AS VARCHAR) AS startTimeUTC, venueTimezone, venue,
+  awayTeamName, homeTeamName, awayTeamScore, homeTeamScore, lastPeriod FROM timed""",
+        "timed",
+    )
+    add(
+        "flatten_schedule",
+        """SELECT gameId, seasonName, gameType, strftime(startTimeUTC, '%Y-%m-%dT%H:%M:%SZ') AS startTimeUTC, venueTimezone,
+  venue, awayTeamName || ' Club' AS awayTeamName, homeTeamName || ' Club' AS homeTeamName,
+  awayTeamScore, homeTeamScore, lastPeriod FROM timed WHERE gameId % 17 <> 0""",
+        "timed",
+    )
+    add(
+        "seed_from_sequences",
+        """SELECT teamName, conferenceName, divisionName, CAST(totalPoints AS DOUBLE) AS totalPoints, playoffSeed FROM table1""",
+        "table1",
+    )
+    add("team_dim", "SELECT teamName, conferenceName, divisionName FROM teams", "teams")
+    add(
+        "resolve_venues",
+        """SELECT g.venue,
+  CASE WHEN v.venue_lat IS NOT NULL THEN v.venue_lat WHEN n.n_nationkey % 2 = 1 THEN CAST(n.n_nationkey AS DOUBLE) END AS venue_lat,
+  CASE WHEN v.venue_lat IS NOT NULL THEN v.venue_long WHEN n.n_nationkey % 2 = 1 THEN CAST(-n.n_nationkey AS DOUBLE) END AS venue_long
+FROM (SELECT DISTINCT venue FROM games) g LEFT JOIN venues v ON v.venue = g.venue
+LEFT JOIN nation n ON concat('Arena ', n.n_name) = g.venue""",
+        "games",
+        "venues",
+    )
+    add(
+        "upsert_games",
+        """SELECT gameId, seasonName, CASE WHEN gameId % 5 = 0 THEN homeTeamScore + 1 ELSE homeTeamScore END AS homeTeamScore
+FROM games WHERE gameId % 7 <> 0 OR gameId % 5 = 0""",
+        "games",
+    )
+    add(
+        "replace_tail",
+        """SELECT gameId, seasonName, homeTeamScore FROM timed WHERE seasonName = (SELECT max(seasonName) FROM games)
+  AND CAST(startTimeUTC - INTERVAL 5 HOUR AS DATE) < DATE '2001-04-30'
+UNION ALL SELECT gameId, seasonName, homeTeamScore + 1 FROM timed WHERE gameDate >= DATE '2001-04-30'""",
+        "timed",
+    )
+    add(
+        "missing_days",
+        """SELECT seasonName, CAST(day AS VARCHAR) AS missingDate FROM (
+  SELECT seasonName, CAST(unnest(generate_series(CAST(left(seasonName, 4) || '-09-23' AS TIMESTAMP),
+    CAST(right(seasonName, 4) || '-06-30' AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day
+  FROM (SELECT DISTINCT seasonName FROM games)) c
+WHERE NOT EXISTS (SELECT 1 FROM games g WHERE g.seasonName = c.seasonName AND g.gameDate = c.day)""",
+        "games",
+    )
+    add(
+        "seasons_to_refresh",
+        """SELECT seasonName, complete, seasonName = top AS latest FROM (
+  SELECT seasonName, bool_and(lastPeriod IS NOT NULL OR gameDate < DATE '1999-01-01') AS complete,
+    (SELECT max(seasonName) FROM games) AS top FROM games GROUP BY seasonName)
+WHERE NOT (complete AND seasonName <> top AND CAST(left(seasonName, 4) AS INT) % 2 = 0)""",
+        "games",
+    )
+    masked = ", ".join(
+        f"CASE WHEN startTimeUTC < TIMESTAMP '1998-03-15 05:00:00' THEN {c} END AS {c}"
+        for c in ("homeTeamScore", "awayTeamScore", "lastPeriod")
+    )
+    add("mask_as_of", f"SELECT gameId, {masked} FROM timed", "timed")
+    add(
+        "next_open_date",
+        """SELECT seasonName, CAST(min(gameDate) FILTER (lastPeriod IS NULL AND gameType = 2) AS VARCHAR) AS nextOpenDate,
+  CAST(max(gameDate) FILTER (awayTeamScore IS NOT NULL) AS VARCHAR) AS lastPlayedDate FROM games GROUP BY seasonName""",
+        "games",
+    )
+    add("open_dates", "SELECT DISTINCT CAST(gameDate AS VARCHAR) AS gameDate FROM games WHERE awayTeamScore IS NULL", "games")
+    add(
+        "staleness",
+        """SELECT seasonName, CAST(first AS VARCHAR) AS firstUnplayed, coalesce(DATE '1998-06-01' > first, FALSE) AS stale,
+  CAST(greatest(date_diff('day', first, DATE '1998-06-01'), 0) AS INT) AS daysBehind
+FROM (SELECT seasonName, min(CAST(startTimeUTC - INTERVAL 5 HOUR AS DATE)) FILTER (lastPeriod IS NULL) AS first
+      FROM timed GROUP BY seasonName)""",
+        "timed",
+    )
+    add("current_season", "SELECT gameId, seasonName FROM games WHERE seasonName = (SELECT max(seasonName) FROM games)", "games")
+    add(
+        "week_bounds",
+        """SELECT seasonName, homeTeamName, CAST(CAST(a - (isodow(a) - 1) AS DATE) AS VARCHAR) AS firstMonday,
+  CAST(CAST(b + (8 - isodow(b)) AS DATE) AS VARCHAR) AS lastMonday
+FROM (SELECT seasonName, homeTeamName, min(gameDate) AS a, max(gameDate) AS b FROM games GROUP BY ALL)""",
+        "games",
+    )
+    add(
+        "local_time",
+        """SELECT event_id, CAST(CAST(ts - INTERVAL 5 HOUR AS DATE) AS VARCHAR) AS gameDate,
+  CAST(hour(ts - INTERVAL 5 HOUR) * 60 + minute(ts) AS INT) AS gameTimeEST FROM events""",
+    )
+    # Daylight saving in these years: first Sunday of April to last Sunday of October, 2 am local time.
+    add(
+        "local_time_games",
+        """SELECT gameId, CAST(CAST(local AS DATE) AS VARCHAR) AS gameDate,
+  CAST(hour(local) * 60 + minute(local) AS INT) AS gameTimeEST,
+  CAST(hour(fixed) * 60 + minute(fixed) AS INT) AS fixedMinute
+FROM (SELECT gameId, fixed, CASE WHEN fixed >= april + (7 - isodow(april)) * INTERVAL 1 DAY + INTERVAL 2 HOUR
+        AND fixed < october - (isodow(october) % 7) * INTERVAL 1 DAY + INTERVAL 1 HOUR
+      THEN fixed + INTERVAL 1 HOUR ELSE fixed END AS local
+      FROM (SELECT gameId, startTimeUTC - INTERVAL 5 HOUR AS fixed,
+              make_timestamp(year(startTimeUTC), 4, 1, 0, 0, 0) AS april,
+              make_timestamp(year(startTimeUTC), 10, 31, 0, 0, 0) AS october FROM timed))""",
+        "timed",
+    )
+    add(
+        "write_back",
+        """SELECT gameId, CASE WHEN gameId % 6 = 0 THEN 10.0 ELSE homeTeamScore END AS homeTeamScore,
+  CASE WHEN gameId % 6 = 3 THEN 20.0 ELSE awayTeamScore END AS awayTeamScore FROM games""",
+        "games",
+    )
+    add("write_by_season", "SELECT gameId, seasonName, homeTeamName, homeTeamScore FROM games", "games")
+    add(
+        "write_snapshot",
+        """SELECT gameId, homeTeamScore, '2001-08-01' AS predDate, 'playoff' AS kind FROM games
+UNION ALL SELECT gameId, homeTeamScore, '2001-08-02', 'regularseason' FROM games WHERE gameType = 2""",
+        "games",
+    )
+
+    # Model.
+    codes = ", ".join(
+        f"CAST((SELECT count(DISTINCT {c}) FROM games o WHERE o.{c} < g.{c} OR g.{c} IS NULL) AS INT) AS {c}Code"
+        for c in ("homeTeamName", "venue", "lastPeriod")
+    )
+    add("encode_columns", f"SELECT gameId, {codes} FROM games g", "games")
+    add(
+        "call_period",
+        """SELECT gameId, CASE WHEN h = a THEN h + 0.5 ELSE h END AS homeTeamScore, a AS awayTeamScore,
+  CASE WHEN abs(h - a) < 0.25 THEN 'OT' ELSE 'REG' END AS lastPeriod
+FROM (SELECT gameId, CAST(gameId % 50 AS DOUBLE) / 10 AS h, CAST(gameId * 7 % 50 AS DOUBLE) / 10 AS a FROM games)""",
+        "games",
+    )
     return sql

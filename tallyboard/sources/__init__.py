@@ -1,0 +1 @@
+"""Readers of landed files, dimensions, and partitioned writers."""

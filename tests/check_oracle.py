@@ -62,7 +62,7 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
 
 if __name__ == "__main__":
     sf = sys.argv[1]
-    session = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"})
+    session = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     db = connect(sf)
     bad = 0
