@@ -228,27 +228,26 @@ def _playoff_pairs(games: DataFrame, scenario: str | None) -> DataFrame:
     )
 
 
-def _scheduled_rounds(pairs: DataFrame, scenario: str | None, ladder: Mapping[int, int]) -> DataFrame:
-    steps = sorted(ladder.items(), reverse=True)
-    n = F.col("pairs")
-    rounds = F.lit(0)
-    covered = F.lit(0)
-    for size, number in reversed(steps):
-        rounds = F.when(n >= size, number).otherwise(rounds)
-        covered = F.when(n >= size, size).otherwise(covered)
-    return (
-        pairs.groupBy(*lead(scenario), "seasonName")
-        .agg(F.count(F.lit(1)).alias("pairs"))
-        .withColumns({"roundsScheduled": rounds, "_covered": covered})
-        .withColumn("partialRound", n != F.col("_covered"))
-    )
+def _full_rounds(pairs: Column, ladder: Mapping[int, int]) -> tuple[Column, Column]:
+    """Number of full rounds in so many ordered pairs, and the pairs these take up."""
+    rounds, covered = F.lit(0), F.lit(0)
+    for size, number in sorted(ladder.items()):
+        rounds = F.when(pairs >= size, number).otherwise(rounds)
+        covered = F.when(pairs >= size, size).otherwise(covered)
+    return rounds, covered
 
 
 def rounds_scheduled(
     games: DataFrame, scenario: str | None = None, ladder: Mapping[int, int] = ROUND_PAIRS
 ) -> DataFrame:
     """Number of fully scheduled playoff rounds, and whether another has begun."""
-    return _scheduled_rounds(_playoff_pairs(games, scenario), scenario, ladder).drop("_covered")
+    rounds, covered = _full_rounds(F.col("pairs"), ladder)
+    return (
+        _playoff_pairs(games, scenario)
+        .groupBy(*lead(scenario), "seasonName")
+        .agg(F.count(F.lit(1)).alias("pairs"))
+        .withColumns({"roundsScheduled": rounds, "partialRound": F.col("pairs") != covered})
+    )
 
 
 def partial_round_games(
@@ -259,12 +258,17 @@ def partial_round_games(
     These are the pairs seen last, as many as go beyond the full rounds.
     """
     keys = [*lead(scenario), "seasonName"]
-    pairs = _playoff_pairs(games, scenario)
-    latest_first = Window.partitionBy(*keys).orderBy(F.desc("firstSeen"))
+    season = Window.partitionBy(*keys)
+    _, covered = _full_rounds(F.col("_pairs"), ladder)
     begun = (
-        pairs.withColumn("_back", F.row_number().over(latest_first))
-        .join(_scheduled_rounds(pairs, scenario, ladder), keys)
-        .where(F.col("_back") <= F.col("pairs") - F.col("_covered"))
+        _playoff_pairs(games, scenario)
+        .withColumns(
+            {
+                "_back": F.row_number().over(season.orderBy(F.desc("firstSeen"))),
+                "_pairs": F.count(F.lit(1)).over(season),
+            }
+        )
+        .where(F.col("_back") <= F.col("_pairs") - covered)
         .select(*keys, "homeTeamName", "awayTeamName")
     )
     return games.where(F.col("gameType") == PLAYOFF).join(

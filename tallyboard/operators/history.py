@@ -1,4 +1,7 @@
-"""Features of a game taken from strictly earlier days, for both of its sides."""
+"""Features of a game taken from strictly earlier days, for both of its sides.
+
+`**options` go to `timeline.prior_days`, for instance `one_game_per_day=True`.
+"""
 
 from __future__ import annotations
 
@@ -75,7 +78,11 @@ def with_venue(games: DataFrame, venues: DataFrame) -> DataFrame:
 
 
 def prior_results(
-    games: DataFrame, n: int | None = SEASON_GAMES, scenario: str | None = None, count_shootout: bool = True
+    games: DataFrame,
+    n: int | None = SEASON_GAMES,
+    scenario: str | None = None,
+    count_shootout: bool = True,
+    **options,
 ) -> DataFrame:
     """Wins, losses and late losses of both sides in their previous n games.
 
@@ -85,7 +92,11 @@ def prior_results(
     span = "toDate" if n is None else str(n)
     days = stage(
         prior_days(
-            team_games(games, scenario), _team_keys(scenario), _results(count_shootout), () if n is None else (n,)
+            team_games(games, scenario),
+            _team_keys(scenario),
+            _results(count_shootout),
+            () if n is None else (n,),
+            **options,
         ),
         "prior_results",
     )
@@ -105,10 +116,15 @@ def prior_results(
 
 
 def points_pct(
-    games: DataFrame, spans: Sequence[int] = (SEASON_GAMES, 3, 7), scenario: str | None = None
+    games: DataFrame,
+    spans: Sequence[int] = (SEASON_GAMES, 3, 7),
+    scenario: str | None = None,
+    **options,
 ) -> DataFrame:
     """Share of possible points in the previous n games, one column per n and side."""
-    days = stage(prior_days(team_games(games, scenario), _team_keys(scenario), _results(), spans), "points_pct")
+    days = stage(
+        prior_days(team_games(games, scenario), _team_keys(scenario), _results(), spans, **options), "points_pct"
+    )
     out = games
     for side in SIDES:
         out = _attach(
@@ -126,6 +142,7 @@ def prior_goals(
     spans: Sequence[int] = (3, 7),
     perspective: str = "fixed_side",
     scenario: str | None = None,
+    **options,
 ) -> DataFrame:
     """Goals in the previous n games.
 
@@ -133,7 +150,8 @@ def prior_goals(
     whichever side the team was on; "team" adds up the team's own goals.
     """
     days = stage(
-        prior_days(team_games(games, scenario), _team_keys(scenario), _goals(perspective), spans), "prior_goals"
+        prior_days(team_games(games, scenario), _team_keys(scenario), _goals(perspective), spans, **options),
+        "prior_goals",
     )
     out = games
     for side in SIDES:
@@ -152,10 +170,10 @@ def _rest(side: str) -> dict[str, Column]:
     return {f"{side}TeamDaysSinceLastGame": days}
 
 
-def rest_days(games: DataFrame, scenario: str | None = None) -> DataFrame:
+def rest_days(games: DataFrame, scenario: str | None = None, **options) -> DataFrame:
     """Days since each side's previous game of the season; null for its first."""
     days = stage(
-        prior_days(team_games(games, scenario), _team_keys(scenario), {}, rest=True), "rest_days"
+        prior_days(team_games(games, scenario), _team_keys(scenario), {}, rest=True, **options), "rest_days"
     )
     out = games
     for side in SIDES:
@@ -175,7 +193,7 @@ def _travel(side: str, n: int) -> dict[str, Column]:
 
 
 def travel_load(
-    games: DataFrame, venues: DataFrame, n_games: int = 7, scenario: str | None = None
+    games: DataFrame, venues: DataFrame, n_games: int = 7, scenario: str | None = None, **options
 ) -> DataFrame:
     """Mean distance from the game's venue to the venues of the previous n games.
 
@@ -188,6 +206,7 @@ def travel_load(
             {},
             places=n_games,
             places_from=venues,
+            **options,
         ),
         "travel_load",
     )
@@ -263,7 +282,11 @@ def series_score(games: DataFrame, scenario: str | None = None) -> DataFrame:
 
 
 def feature_days(
-    games: DataFrame, venues: DataFrame, perspective: str = "fixed_side", scenario: str | None = None
+    games: DataFrame,
+    venues: DataFrame,
+    perspective: str = "fixed_side",
+    scenario: str | None = None,
+    **options,
 ) -> DataFrame:
     """All per-team history of the feature set at (season, team, day) grain, in one pass."""
     goals = _goals(perspective)
@@ -275,11 +298,16 @@ def feature_days(
         places=7,
         places_from=venues,
         rest=True,
+        **options,
     )
 
 
 def feature_set(
-    games: DataFrame, venues: DataFrame, perspective: str = "fixed_side", scenario: str | None = None
+    games: DataFrame,
+    venues: DataFrame,
+    perspective: str = "fixed_side",
+    scenario: str | None = None,
+    **options,
 ) -> DataFrame:
     """The log with the history features of both sides.
 
@@ -287,7 +315,7 @@ def feature_set(
     travel over 7 games and the series score.
     """
     spans = (3, 7)
-    days = feature_days(games, venues, perspective, scenario)
+    days = feature_days(games, venues, perspective, scenario, **options)
     shares = {f"share_{n}": _points_share(str(n)) for n in (SEASON_GAMES, *spans)}
     goals = [f"{m}_{n}" for m in ("first", "second") for n in spans]
     days = stage(

@@ -15,6 +15,7 @@ from tallyboard.functions import scoring
 from tallyboard.operators.evaluate import regression_metrics
 
 TARGETS = ("homeTeamScore", "awayTeamScore")
+MAX_LABELS = 100_000
 NOT_FEATURES = (*TARGETS, "lastPeriod")
 
 
@@ -36,12 +37,21 @@ def _indexer(columns: Sequence[str], suffix: str) -> StringIndexer:
     )
 
 
+def _require_bounded(df: DataFrame, columns: Sequence[str], limit: int = MAX_LABELS) -> None:
+    """Refuse columns whose labels are too many to keep in one place."""
+    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    wide = [c for c in columns if counts[c] > limit]
+    if wide:
+        raise ValueError(f"more than {limit} distinct labels in {wide}; drop these columns first")
+
+
 def encode_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Ordinal codes of dimension columns, by sorted value, nulls last.
 
     The fit keeps the distinct labels, so it is meant for columns of a bounded
-    vocabulary (teams, venues, seasons, zones).
+    vocabulary (teams, venues, seasons, zones); others are refused.
     """
+    _require_bounded(df, columns)
     return _indexer(columns, "Code").fit(df).transform(df)
 
 
@@ -88,6 +98,8 @@ def train_scores(
     features: DataFrame, n_trees: int = 100, max_depth: int = 10, seed: int | None = 42
 ) -> PipelineModel:
     """Fit the forecaster on the played games. Save it with `model.write().save(path)`."""
+    texts = text_columns(features.select(*feature_columns(features)))
+    _require_bounded(features, texts)
     return forecaster(features, n_trees, max_depth, seed).fit(_scored(features))
 
 

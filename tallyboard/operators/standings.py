@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyboard.functions import scoring
 from tallyboard.operators.timeline import lead, team_games
+from tallyboard.session import stage
 
 # Tie-break order and the column order of a standings table.
 TIEBREAKERS = [
@@ -107,7 +108,9 @@ def team_totals(
                 F.sum(F.when(F.col("side") == side, stats[name])).alias(f"total{side.title()}{name}")
                 for name in _COUNTED
             ]
-    totals = rows.groupBy(*keys, "teamName").agg(*sums)
+    # One row per season and team; staged, since the fill below reads it twice and
+    # the log should be aggregated once.
+    totals = stage(rows.groupBy(*keys, "teamName").agg(*sums), "team_totals")
     counted = [c for c in totals.columns if c.startswith("total")]
     filled = _with_every_team(totals, teams, keys).withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)) for c in counted}

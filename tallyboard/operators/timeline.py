@@ -52,6 +52,7 @@ def prior_days(
     places_from: DataFrame | None = None,
     rest: bool = False,
     order: str = "gameId",
+    one_game_per_day: bool = False,
 ) -> DataFrame:
     """One row per key and day with totals over strictly earlier days.
 
@@ -61,10 +62,18 @@ def prior_days(
     `priorVenues`, the coordinates of the last so many venues, looked up in
     `places_from`. `rest` adds the first game of the day and the day before it
     on which the team played.
+
+    `one_game_per_day=True` is a promise that (keys, day) is unique. A key then
+    has no more rows than its season has days, so plain row frames are exact and
+    the log is shuffled once.
     """
     rows = rows.where(F.col("gameDate").isNotNull())
     named = [measures[m].cast("double").alias(m) for m in measures]
     base = rows.select(*keys, "gameDate", order, *(["venue"] if places else []), *named)
+    if places:
+        places_from = places_from.select("venue", "venue_lat", "venue_long")
+    if one_game_per_day:
+        return _one_game_days(base, keys, list(measures), spans, places, places_from, rest, order)
     days = base.groupBy(*keys, "gameDate").agg(
         F.count(F.lit(1)).alias("_games"),
         F.min(order).alias("_first"),
@@ -75,7 +84,7 @@ def prior_days(
         newest_first = Window.partitionBy(*keys, "gameDate").orderBy(F.desc(order))
         last = base.withColumn("_back", F.row_number().over(newest_first)).where(F.col("_back") <= depth)
         if places:
-            last = last.join(places_from.select("venue", "venue_lat", "venue_long"), "venue", "left")
+            last = last.join(places_from, "venue", "left")
         timeline = days.unionByName(last.drop(order), allowMissingColumns=True)
     else:
         timeline = days.withColumn("_back", F.lit(None).cast("int"))
@@ -133,12 +142,8 @@ def prior_days(
                 }
             )
         if places:
-            spot = F.when(
-                F.col("venue_lat").isNotNull() & F.col("venue_long").isNotNull(),
-                F.struct("venue_lat", "venue_long"),
-            )
             timeline = timeline.withColumn(
-                "priorVenues", F.collect_list(spot).over(by_rank.rangeBetween(-places, -1))
+                "priorVenues", F.collect_list(_spot()).over(by_rank.rangeBetween(-places, -1))
             )
         timeline = timeline.where(is_day)
     return timeline.select(
@@ -149,3 +154,45 @@ def prior_days(
         *(["priorVenues"] if places else []),
         *([F.col("_first").alias("firstGameId"), "previousDate"] if rest else []),
     )
+
+
+def _spot() -> Column:
+    """Coordinates of a venue; null, hence not collected, when one is missing."""
+    known = F.col("venue_lat").isNotNull() & F.col("venue_long").isNotNull()
+    return F.when(known, F.struct("venue_lat", "venue_long"))
+
+
+def _one_game_days(
+    base: DataFrame,
+    keys: Sequence[str],
+    measures: Sequence[str],
+    spans: Sequence[int],
+    places: int | None,
+    places_from: DataFrame | None,
+    rest: bool,
+    order: str,
+) -> DataFrame:
+    """`prior_days` for keys with at most one game a day."""
+    by_day = Window.partitionBy(*keys).orderBy("gameDate")
+
+    def last(n: int):
+        return by_day.rowsBetween(-n, -1)
+
+    def total(measure: str, frame) -> Column:
+        return F.coalesce(F.sum(measure).over(frame), F.lit(0.0))
+
+    if places:
+        base = base.join(places_from, "venue", "left")
+    so_far = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    return base.select(
+        *keys,
+        "gameDate",
+        *[total(m, so_far).alias(f"{m}_toDate") for m in measures],
+        *[total(m, last(n)).alias(f"{m}_{n}") for m in measures for n in spans],
+        *([F.collect_list(_spot()).over(last(places)).alias("priorVenues")] if places else []),
+        *(
+            [F.col(order).alias("firstGameId"), F.lag("gameDate").over(by_day).alias("previousDate")]
+            if rest
+            else []
+        ),
+    )

@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from tallyboard.operators import bracket, evaluate, history, model, outcomes, refresh, standings
+from tallyboard.session import stage
 from tallyboard.sources import readers
 
 
@@ -22,7 +23,8 @@ def forecast_season(
     first. Features of open games rest on what is known, not on other forecasts.
     """
     known = refresh.mask_as_of(log, as_of) if as_of else log
-    features = history.feature_set(refresh.local_time(known), venues)
+    # Training reads the features several times, so they are stored once.
+    features = stage(history.feature_set(refresh.local_time(known), venues), "features")
     fitted = fitted or model.train_scores(features, **forest)
     return model.score_games(features, fitted), fitted
 

@@ -97,8 +97,8 @@ SELECT w.seasonName, 1 AS round, w.conferenceName,
        w.divisionName, CAST(CASE w.conferenceName WHEN 'Eastern' THEN 0 ELSE 4 END + 2 * w.place + k.k AS INT) AS slot,
        CASE k.k WHEN 0 THEN w.teamName ELSE b.teamName END AS team1,
        CASE k.k WHEN 0 THEN q.teamName ELSE c.teamName END AS team2,
-       CASE k.k WHEN 0 THEN w.conferenceSeed ELSE b.conferenceSeed END AS team1ConferenceSeed,
-       CASE k.k WHEN 0 THEN q.conferenceSeed ELSE c.conferenceSeed END AS team2ConferenceSeed,
+       CAST(CASE k.k WHEN 0 THEN w.conferenceSeed ELSE b.conferenceSeed END AS INT) AS team1ConferenceSeed,
+       CAST(CASE k.k WHEN 0 THEN q.conferenceSeed ELSE c.conferenceSeed END AS INT) AS team2ConferenceSeed,
        concat(substr(w.divisionName, 1, 1), CASE k.k WHEN 0 THEN '1' ELSE '2' END) AS team1Seed,
        CASE k.k WHEN 0 THEN concat('WC', 2 - w.place) ELSE concat(substr(w.divisionName, 1, 1), '3') END AS team2Seed
 FROM (SELECT *, row_number() OVER (PARTITION BY seasonName, conferenceName ORDER BY conferenceSeed) - 1 AS place
@@ -703,8 +703,8 @@ LEFT JOIN nation n ON concat('Arena ', n.n_name) = g.venue""",
     )
     add(
         "upsert_games",
-        """SELECT gameId, seasonName, CASE WHEN gameId % 5 = 0 THEN homeTeamScore + 1 ELSE homeTeamScore END AS homeTeamScore
-FROM games WHERE gameId % 7 <> 0 OR gameId % 5 = 0""",
+        """SELECT gameId, seasonName,
+  CASE WHEN gameDate >= DATE '2000-06-01' THEN homeTeamScore + 1 ELSE homeTeamScore END AS homeTeamScore FROM games""",
         "games",
     )
     add(
@@ -754,8 +754,8 @@ FROM (SELECT seasonName, min(CAST(startTimeUTC - INTERVAL 5 HOUR AS DATE)) FILTE
     add("current_season", "SELECT gameId, seasonName FROM games WHERE seasonName = (SELECT max(seasonName) FROM games)", "games")
     add(
         "week_bounds",
-        """SELECT seasonName, homeTeamName, CAST(CAST(a - (isodow(a) - 1) AS DATE) AS VARCHAR) AS firstMonday,
-  CAST(CAST(b + (8 - isodow(b)) AS DATE) AS VARCHAR) AS lastMonday
+        """SELECT seasonName, homeTeamName, CAST(CAST(a - CAST(isodow(a) - 1 AS INT) AS DATE) AS VARCHAR) AS firstMonday,
+  CAST(CAST(b + CAST(8 - isodow(b) AS INT) AS DATE) AS VARCHAR) AS lastMonday
 FROM (SELECT seasonName, homeTeamName, min(gameDate) AS a, max(gameDate) AS b FROM games GROUP BY ALL)""",
         "games",
     )
@@ -780,8 +780,8 @@ FROM (SELECT gameId, fixed, CASE WHEN fixed >= april + (7 - isodow(april)) * INT
     )
     add(
         "write_back",
-        """SELECT gameId, CASE WHEN gameId % 6 = 0 THEN 10.0 ELSE homeTeamScore END AS homeTeamScore,
-  CASE WHEN gameId % 6 = 3 THEN 20.0 ELSE awayTeamScore END AS awayTeamScore FROM games""",
+        """SELECT gameId, CASE WHEN lastPeriod IS NULL AND gameType = 2 THEN 10.0 ELSE homeTeamScore END AS homeTeamScore,
+  CASE WHEN lastPeriod IS NULL AND gameType = 3 THEN 20.0 ELSE awayTeamScore END AS awayTeamScore FROM games""",
         "games",
     )
     add("write_by_season", "SELECT gameId, seasonName, homeTeamName, homeTeamScore FROM games", "games")

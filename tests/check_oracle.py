@@ -19,6 +19,8 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+SAME_KIND = {"int": "integer", "string": "varchar"}
+
 
 def connect(sf_dir: str):
     con = duckdb.connect()
@@ -51,11 +53,18 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
         return bool(got), f"rows only: {len(got)}"
     cur = con.execute(sql)
     columns = [d[0] for d in cur.description]
+    kinds = {d[0]: str(d[1]).lower() for d in cur.description}
+    spark_kinds = dict(df.dtypes)
+    apart = {
+        c: (spark_kinds.get(c), kinds[c])
+        for c in columns
+        if SAME_KIND.get(spark_kinds.get(c), spark_kinds.get(c)) != kinds[c]
+    }
     want = rows_of(columns, cur.fetchall())
     if sorted(columns) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} vs {sorted(columns)}"
     if got == want:
-        return True, f"{len(got)} rows"
+        return True, f"{len(got)} rows" + (f", types {apart}" if apart else "")
     odd = [(a, b) for a, b in zip(got, want) if a != b][:3]
     return False, f"{len(got)} vs {len(want)} rows, {sorted(columns)}: {odd}"
 
