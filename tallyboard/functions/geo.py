@@ -9,12 +9,26 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_KM = 6371.0
 
 
+def located(lat: Column, long: Column) -> Column:
+    """Latitude, longitude and the latitude's cosine, in radians; null if one is missing.
+
+    Worked out once per place, so that a distance needs no more than two sines.
+    """
+    place = F.struct(
+        F.radians(lat).alias("lat"), F.radians(long).alias("long"), F.cos(F.radians(lat)).alias("cosLat")
+    )
+    return F.when(lat.isNotNull() & long.isNotNull(), place)
+
+
+def distance_km(a: Column, b: Column) -> Column:
+    """Kilometres between two located places, neither of them null."""
+    half_lat = F.sin((b["lat"] - a["lat"]) / 2)
+    half_long = F.sin((b["long"] - a["long"]) / 2)
+    chord = half_lat * half_lat + a["cosLat"] * b["cosLat"] * half_long * half_long
+    return F.asin(F.sqrt(F.least(F.lit(1.0), chord))) * (2 * EARTH_RADIUS_KM)
+
+
 def haversine_km(lat1: Column, long1: Column, lat2: Column, long2: Column) -> Column:
     """Kilometres between two points in degrees; null if a coordinate is missing."""
-    half_lat = F.radians(lat2 - lat1) / 2
-    half_long = F.radians(long2 - long1) / 2
-    chord = F.pow(F.sin(half_lat), 2) + (
-        F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_long), 2)
-    )
-    bounded = F.when(chord.isNotNull(), F.least(F.lit(1.0), chord))
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(bounded))
+    a, b = located(lat1, long1), located(lat2, long2)
+    return F.when(a.isNotNull() & b.isNotNull(), distance_km(a, b))

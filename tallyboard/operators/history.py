@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyboard.functions import scoring
-from tallyboard.functions.geo import haversine_km
+from tallyboard.functions.geo import distance_km, located
 from tallyboard.operators.timeline import lead, prior_days, team_games
 from tallyboard.session import stage
 
@@ -77,6 +77,11 @@ def with_venue(games: DataFrame, venues: DataFrame) -> DataFrame:
     return games.join(venues.select("venue", "venue_lat", "venue_long"), "venue", "left")
 
 
+def _with_place(games: DataFrame, venues: DataFrame) -> DataFrame:
+    spot = located(F.col("venue_lat"), F.col("venue_long"))
+    return games.join(venues.select("venue", spot.alias("_here")), "venue", "left")
+
+
 def prior_results(
     games: DataFrame,
     n: int | None = SEASON_GAMES,
@@ -182,14 +187,12 @@ def rest_days(games: DataFrame, scenario: str | None = None, **options) -> DataF
 
 
 def _travel(side: str, n: int) -> dict[str, Column]:
-    legs = F.transform(
-        F.col("priorVenues"),
-        lambda spot: haversine_km(
-            F.col("venue_lat"), F.col("venue_long"), spot["venue_lat"], spot["venue_long"]
-        ),
+    here = F.col("_here")
+    total = F.aggregate(
+        F.col("priorVenues"), F.lit(0.0), lambda so_far, spot: so_far + distance_km(here, spot)
     )
-    total = F.aggregate(legs, F.lit(0.0), lambda so_far, leg: so_far + leg)
-    return {f"{side}TeamTravelDistance{n}Days": F.try_divide(total, F.size("priorVenues").cast("double"))}
+    mean = F.try_divide(total, F.size("priorVenues").cast("double"))
+    return {f"{side}TeamTravelDistance{n}Days": F.when(here.isNotNull(), mean)}
 
 
 def travel_load(
@@ -210,7 +213,7 @@ def travel_load(
         ),
         "travel_load",
     )
-    out = with_venue(games, venues)
+    out = _with_place(games, venues)
     for side in SIDES:
         out = _attach(out, days, side, scenario, _travel(side, n_games))
     return out.select(*games.columns, *[c for c in out.columns if "TravelDistance" in c])
@@ -324,7 +327,7 @@ def feature_set(
         ),
         "feature_days",
     )
-    out = with_venue(games, venues)
+    out = _with_place(games, venues)
     for side in SIDES:
         new = {_share_name(side, n): F.col(f"share_{n}") for n in (SEASON_GAMES, *spans)}
         for n in spans:
@@ -332,6 +335,6 @@ def feature_set(
         new.update(_rest(side))
         new.update(_travel(side, 7))
         out = _attach(out, days, side, scenario, new)
-    added = [c for c in out.columns if c not in games.columns and c not in ("venue_lat", "venue_long")]
+    added = [c for c in out.columns if c not in games.columns and c != "_here"]
     out = out.select(*games.columns, *added)
     return _attach_series(out, stage(pair_days(games, scenario), "pair_days"), scenario)

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyboard.functions.geo import located
+
 
 def lead(scenario: str | None) -> list[str]:
     return [scenario] if scenario else []
@@ -71,7 +73,9 @@ def prior_days(
     named = [measures[m].cast("double").alias(m) for m in measures]
     base = rows.select(*keys, "gameDate", order, *(["venue"] if places else []), *named)
     if places:
-        places_from = places_from.select("venue", "venue_lat", "venue_long")
+        # Null, hence not collected, when a coordinate is missing.
+        spot = located(F.col("venue_lat"), F.col("venue_long"))
+        places_from = places_from.select("venue", spot.alias("_spot"))
     if one_game_per_day:
         return _one_game_days(base, keys, list(measures), spans, places, places_from, rest, order)
     days = base.groupBy(*keys, "gameDate").agg(
@@ -81,29 +85,30 @@ def prior_days(
     )
     depth = max([n + 1 for n in spans] + [places or 0])
     if depth:
-        newest_first = Window.partitionBy(*keys, "gameDate").orderBy(F.desc(order))
+        # The limit is applied on the map side too (for depth up to
+        # spark.sql.optimizer.windowGroupLimitThreshold). The date leads the sort
+        # key, since it compares as a number.
+        newest_first = Window.partitionBy("gameDate", *keys).orderBy(F.desc(order))
+        newer = newest_first.rowsBetween(Window.unboundedPreceding, -1)
         last = base.withColumn("_back", F.row_number().over(newest_first)).where(F.col("_back") <= depth)
+        if spans:
+            last = last.withColumns({f"_newer_{m}": F.sum(F.coalesce(F.col(m), F.lit(0.0))).over(newer) for m in measures})
+        last = last.drop(*measures)
         if places:
             last = last.join(places_from, "venue", "left")
         timeline = days.unionByName(last.drop(order), allowMissingColumns=True)
     else:
         timeline = days.withColumn("_back", F.lit(None).cast("int"))
 
-    # One exchange serves every window below: (keys, day) and (keys, rank) are
-    # both clustered once the rows are hashed on the keys alone.
+    # One exchange serves every window below.
     timeline = timeline.repartition(*keys).withColumn("_day", F.unix_date("gameDate"))
     by_day = Window.partitionBy(*keys).orderBy("_day")
     earlier = by_day.rangeBetween(Window.unboundedPreceding, -1)
     so_far = by_day.rangeBetween(Window.unboundedPreceding, 0)
-    newer_same_day = (
-        Window.partitionBy(*keys, "_day").orderBy("_back").rowsBetween(Window.unboundedPreceding, -1)
-    )
 
     def total(column: str, frame) -> Column:
         return F.coalesce(F.sum(column).over(frame), F.lit(0))
 
-    if spans:
-        timeline = timeline.withColumns({f"_newer_{m}": total(m, newer_same_day) for m in measures})
     timeline = timeline.withColumns(
         {
             "_before": total("_games", earlier),
@@ -128,7 +133,9 @@ def prior_days(
             # Sum of all games up to and including this one, known only for kept games.
             timeline = timeline.withColumns(
                 {
-                    f"_upto_{m}": F.when(~is_day, F.col(f"_sofar_{m}") - F.col(f"_newer_{m}"))
+                    f"_upto_{m}": F.when(
+                        ~is_day, F.col(f"_sofar_{m}") - F.coalesce(f"_newer_{m}", F.lit(0.0))
+                    )
                     for m in measures
                 }
             ).withColumns(
@@ -143,7 +150,7 @@ def prior_days(
             )
         if places:
             timeline = timeline.withColumn(
-                "priorVenues", F.collect_list(_spot()).over(by_rank.rangeBetween(-places, -1))
+                "priorVenues", F.collect_list("_spot").over(by_rank.rangeBetween(-places, -1))
             )
         timeline = timeline.where(is_day)
     return timeline.select(
@@ -156,12 +163,6 @@ def prior_days(
     )
 
 
-def _spot() -> Column:
-    """Coordinates of a venue; null, hence not collected, when one is missing."""
-    known = F.col("venue_lat").isNotNull() & F.col("venue_long").isNotNull()
-    return F.when(known, F.struct("venue_lat", "venue_long"))
-
-
 def _one_game_days(
     base: DataFrame,
     keys: Sequence[str],
@@ -189,7 +190,7 @@ def _one_game_days(
         "gameDate",
         *[total(m, so_far).alias(f"{m}_toDate") for m in measures],
         *[total(m, last(n)).alias(f"{m}_{n}") for m in measures for n in spans],
-        *([F.collect_list(_spot()).over(last(places)).alias("priorVenues")] if places else []),
+        *([F.collect_list("_spot").over(last(places)).alias("priorVenues")] if places else []),
         *(
             [F.col(order).alias("firstGameId"), F.lag("gameDate").over(by_day).alias("previousDate")]
             if rest
