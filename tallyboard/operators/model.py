@@ -37,8 +37,9 @@ def _indexer(columns: Sequence[str], suffix: str) -> StringIndexer:
     )
 
 
-def _require_bounded(df: DataFrame, columns: Sequence[str], limit: int = MAX_LABELS) -> None:
+def _require_bounded(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> None:
     """Refuse columns whose labels are too many to keep in one place."""
+    limit = limit or MAX_LABELS
     counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
     wide = [c for c in columns if counts[c] > limit]
     if wide:
