@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyboard.functions import scoring
-from tallyboard.functions.geo import distance_km, located
+from tallyboard.functions.geo import EARTH_RADIUS_KM, half_angle, located
 from tallyboard.operators.timeline import lead, prior_days, team_games
 from tallyboard.session import stage
 
@@ -188,10 +188,10 @@ def rest_days(games: DataFrame, scenario: str | None = None, **options) -> DataF
 
 def _travel(side: str, n: int) -> dict[str, Column]:
     here = F.col("_here")
-    total = F.aggregate(
-        F.col("priorVenues"), F.lit(0.0), lambda so_far, spot: so_far + distance_km(here, spot)
+    angles = F.aggregate(
+        F.col("priorVenues"), F.lit(0.0), lambda so_far, spot: so_far + half_angle(here, spot)
     )
-    mean = F.try_divide(total, F.size("priorVenues").cast("double"))
+    mean = F.try_divide(2 * EARTH_RADIUS_KM * angles, F.size("priorVenues").cast("double"))
     return {f"{side}TeamTravelDistance{n}Days": F.when(here.isNotNull(), mean)}
 
 

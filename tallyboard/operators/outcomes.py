@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyboard.operators.timeline import lead
+
 # Seeds, and the stage reached after winning k rounds.
 SEEDS = ("div_1", "div_2", "div_3", "wc_1", "wc_2", "missed")
 STAGES = {1: "make_round_2", 2: "make_round_3", 3: "make_cup_final", 4: "win_cup"}
@@ -12,6 +14,23 @@ RINGS = ("playoff_%", "make_round_2_%", "make_round_3_%", "make_cup_final_%", "w
 _ALIVE = {1: "playoff_%", 2: "make_round_2_%", 3: "make_round_3_%", 4: "make_cup_final_%"}
 
 
+def scenario_outcomes(table: DataFrame, results: DataFrame, scenario: str | None = "iteration") -> DataFrame:
+    """Seed and number of series won, per scenario and team.
+
+    `table` holds the final standings and `results` the bracket of all rounds,
+    with the winner of each decided series.
+    """
+    keys = [*lead(scenario), "seasonName", "teamName"]
+    won = (
+        results.where(F.col("winner").isNotNull())
+        .groupBy(*keys[:-1], F.col("winner").alias("teamName"))
+        .agg(F.count(F.lit(1)).alias("roundsWon"))
+    )
+    return table.join(won, keys, "left").select(
+        *keys, "playoffSeed", F.coalesce("roundsWon", F.lit(0)).alias("roundsWon")
+    )
+
+
 def _seed_counts() -> list[Column]:
     return [F.count_if(F.col("playoffSeed") == seed).alias(seed) for seed in SEEDS]
 

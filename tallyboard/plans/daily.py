@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyboard.operators import bracket, evaluate, history, model, outcomes, refresh, standings
 from tallyboard.session import stage
-from tallyboard.sources import readers
+from tallyboard.sources import readers, writers
+
+
+def refresh_features(log: DataFrame, venues: DataFrame, path: str, **options) -> DataFrame:
+    """The stored feature sets after rebuilding only the seasons that need it.
+
+    `log` has local dates. A season is taken from the store under `path` if it
+    is there, complete, and not the latest one.
+    """
+    spark = log.sparkSession
+    try:
+        cached = spark.read.parquet(path).select(F.col("seasonName").cast("string"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        cached = log.select("seasonName").limit(0)
+    # Staged, because the store is read for it and then written to.
+    due = stage(refresh.seasons_to_refresh(log, cached).select("seasonName"), "due_seasons")
+    features = history.feature_set(log.join(due, "seasonName", "left_semi"), venues, **options)
+    writers.write_by_season(features, path)
+    return spark.read.schema(features.schema).parquet(path)
 
 
 def forecast_season(

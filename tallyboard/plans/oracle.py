@@ -664,6 +664,14 @@ FROM (SELECT r.*, n.n_nationkey, percent / sum(percent) OVER (PARTITION BY ring)
         f'SELECT teamName, "make_cup_final_%" FROM ({tally(everything, "outcomes")}) WHERE "make_cup_final_%" > 0',
         "outcomes",
     )
+    add(
+        "scenario_outcomes",
+        f"""SELECT t.seasonName, t.teamName, t.playoffSeed, count(r.winner) AS roundsWon
+FROM table1 t LEFT JOIN ({results}) r ON r.seasonName = t.seasonName AND r.winner = t.teamName
+GROUP BY t.seasonName, t.teamName, t.playoffSeed""",
+        "round1",
+        "series",
+    )
     add(
         "latest_run",
         """SELECT event_id, CAST(predDate AS VARCHAR) AS predDate, n FROM (

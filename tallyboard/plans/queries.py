@@ -456,6 +456,14 @@ def _(spark, sf):
     return _percentages(outcomes.alive_teams(table, 4).select("teamName", "make_cup_final_%"))
 
 
+@query("scenario_outcomes")
+def _(spark, sf):
+    """Each season taken as one scenario: its seeds and the first-round series won."""
+    table = _table(spark, sf)
+    results = bracket.bracket_results(bracket.first_round(table), _state(spark, sf))
+    return outcomes.scenario_outcomes(table, results, scenario=None)
+
+
 @query("latest_run")
 def _(spark, sf):
     runs = fx.table(spark, sf, "events").select(

@@ -26,16 +26,23 @@ def build_session(app: str = "tallyboard", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+# Folders of sessions without a checkpoint folder, by application.
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for staged tables: the cluster's `spark.checkpoint.dir`.
 
-    Only a session without that setting (a test on one machine) gets a
-    temporary folder, which is then remembered in the session.
+    Only a session without one (a test on one machine) gets a temporary folder
+    of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tallyboard-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = context.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = tempfile.mkdtemp(prefix="tallyboard-")
+        folder = _own_dirs[app]
     return folder.rstrip("/")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,3 +36,9 @@ def write_snapshot(
         .format(fmt)
         .save(path)
     )
+
+
+def write_feature_names(names: Sequence[str], spark: SparkSession, path: str) -> None:
+    """The names of a model's features, one per line."""
+    rows = spark.createDataFrame([(name,) for name in names], "value string")
+    rows.coalesce(1).write.mode("overwrite").text(path)

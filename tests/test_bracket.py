@@ -4,7 +4,7 @@ import pytest
 from helpers import game, log
 from pyspark.sql import functions as F
 
-from tallyboard.operators import bracket, refresh, standings
+from tallyboard.operators import bracket, outcomes, refresh, standings
 from tallyboard.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -170,3 +170,24 @@ def test_pruned_log_still_upserts(spark):
     games = log(spark, *series("A", "A", "A", "A", None))
     fresh = log(spark, game(5, "2025-04-20", "A", "B", 1, 2, kind=3))
     assert refresh.upsert_games(games, fresh).where("gameId = 5").first()["awayTeamScore"] == 2.0
+
+
+def test_many_scenarios_in_one_job(spark):
+    """Standings, pairs, series and outcomes per scenario equal a loop over scenarios."""
+    games = fx.games(spark, SF).withColumn("iteration", F.col("gameId") % 2)
+    teams = fx.teams(spark, SF)
+
+    def run(log, scenario):
+        table = standings.standings(log, teams, scenario)
+        state = bracket.series_state(log, 1, scenario)
+        first = bracket.bracket_results(bracket.first_round(table, scenario), state, scenario)
+        settled = first.withColumn("winner", F.coalesce("winner", "team1"))
+        second = bracket.next_round(settled, 2, scenario)
+        return outcomes.scenario_outcomes(table, first, scenario), second
+
+    together = run(games, "iteration")
+    for i in (0, 1):
+        alone = run(games.where(F.col("iteration") == i), None)
+        for many, one in zip(together, alone):
+            part = many.where(F.col("iteration") == i).select(one.columns)
+            assert part.count() == one.count() > 0 and part.exceptAll(one).count() == 0

@@ -6,6 +6,7 @@ from tallyboard.operators import history, model, outcomes
 from tallyboard.plans import daily
 from tallyboard.plans import fixtures as fx
 from tallyboard.session import stage
+from tallyboard.sources import writers
 
 SF = "/root/testdata/sf0.001"
 SMALL = {"n_trees": 3, "max_depth": 3}
@@ -64,6 +65,25 @@ def test_whole_run(spark):
     assert table.count() == 7 * 20 and pairs.count() == 7 * 8
 
 
+def test_only_due_seasons_are_rebuilt(spark, tmp_path):
+    path = str(tmp_path / "features")
+    log = fx.games(spark, SF).withColumn("lastPeriod", F.coalesce("lastPeriod", F.lit("REG")))
+    venues = fx.venues(spark, SF)
+    first = daily.refresh_features(log, venues, path)
+    assert first.count() == log.count()
+    # Scores of an old and of the latest season change; only the latter is due.
+    changed = log.withColumn("homeTeamScore", F.lit(8.0))
+    rows = daily.refresh_features(changed, venues, path).groupBy("seasonName").agg(F.max("homeTeamScore").alias("top"))
+    tops = {r["seasonName"]: r["top"] for r in rows.collect()}
+    assert tops["20012002"] == 8.0 and tops["19951996"] < 8.0
+
+
+def test_feature_names_as_text(spark, features, tmp_path):
+    path = str(tmp_path / "names")
+    writers.write_feature_names(model.feature_columns(features), spark, path)
+    assert [r["value"] for r in spark.read.text(path).collect()] == model.feature_columns(features)
+
+
 def test_evaluation_run(spark):
     snapshots = fx.snapshots(spark, SF).withColumn("kind", F.lit("regularseason"))
     games, days = daily.evaluate_snapshots(snapshots, fx.games(spark, SF), fx.odds(spark, SF), "1996-01-01", "1999-01-01")
