@@ -12,8 +12,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tallyboard.functions.geo import located
+from tallyboard.session import stage
+
+
+# A day is crowded for a team when it has this many times the games a window needs.
+CROWDED = 100
 
 
 def lead(scenario: str | None) -> list[str]:
@@ -81,22 +87,26 @@ def prior_days(
     days = base.groupBy(*keys, "gameDate").agg(
         F.count(F.lit(1)).alias("_games"),
         F.min(order).alias("_first"),
+        F.max(order).alias("_last"),
         *[F.sum(F.coalesce(F.col(m), F.lit(0.0))).alias(f"_day_{m}") for m in measures],
     )
     depth = max([n + 1 for n in spans] + [places or 0])
     if depth:
+        # Staged: it is one side of the timeline, and it tells which days are crowded.
+        days = stage(days, "day_totals")
+        late = _late_games(base, days, keys, depth, order)
         # The limit is applied on the map side too (for depth up to
         # spark.sql.optimizer.windowGroupLimitThreshold). The date leads the sort
         # key, since it compares as a number.
         newest_first = Window.partitionBy("gameDate", *keys).orderBy(F.desc(order))
         newer = newest_first.rowsBetween(Window.unboundedPreceding, -1)
-        last = base.withColumn("_back", F.row_number().over(newest_first)).where(F.col("_back") <= depth)
+        last = late.withColumn("_back", F.row_number().over(newest_first)).where(F.col("_back") <= depth)
         if spans:
             last = last.withColumns({f"_newer_{m}": F.sum(F.coalesce(F.col(m), F.lit(0.0))).over(newer) for m in measures})
         last = last.drop(*measures)
         if places:
             last = last.join(places_from, "venue", "left")
-        timeline = days.unionByName(last.drop(order), allowMissingColumns=True)
+        timeline = days.drop("_last").unionByName(last.drop(order), allowMissingColumns=True)
     else:
         timeline = days.withColumn("_back", F.lit(None).cast("int"))
 
@@ -163,6 +173,44 @@ def prior_days(
     )
 
 
+def _late_games(
+    base: DataFrame, days: DataFrame, keys: Sequence[str], depth: int, order: str
+) -> DataFrame:
+    """The games of `base` without those that cannot be among the last `depth` of their day.
+
+    A map-side limit does not help when every task sees more games of a day than
+    it may keep. For such crowded days the games are counted in tiers by their
+    distance from the day's last one, each tier twice as wide as the one before.
+    The tiers that hold the last `depth` games are kept whole, so nothing that
+    counts is lost, however the order values are spread.
+    """
+    if not isinstance(base.schema[order].dataType, NumericType):
+        return base
+    busiest = days.agg(F.max("_games")).first()[0]
+    if busiest is None or busiest <= CROWDED * depth:
+        return base
+    on = [*keys, "gameDate"]
+    span = F.col("_last") - F.col("_first") + 1
+    crowded = days.where(F.col("_games") > CROWDED * depth).select(
+        *on, "_last", (span * depth / F.col("_games")).alias("_width")
+    )
+    tier = F.floor(F.log2((F.col("_last") - F.col(order)) / F.col("_width") + 1)).cast("int")
+    tiers = base.select(*on, order).join(crowded, on).groupBy(*on, tier.alias("_tier")).agg(F.count(F.lit(1)).alias("_n"))
+    outward = Window.partitionBy(*on).orderBy("_tier").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    enough = (
+        tiers.withColumn("_reached", F.sum("_n").over(outward))
+        .where(F.col("_reached") >= depth)
+        .groupBy(*on)
+        .agg(F.min("_tier").alias("_enough"))
+    )
+    limits = stage(crowded.join(enough, on), "day_limits")
+    return (
+        base.join(limits, on, "left")
+        .where(F.col("_enough").isNull() | (tier <= F.col("_enough")))
+        .select(*base.columns)
+    )
+
+
 def _one_game_days(
     base: DataFrame,
     keys: Sequence[str],

@@ -106,3 +106,15 @@ def test_a_large_season_is_written_by_several_tasks(spark, tmp_path):
         for key in options:
             spark.conf.unset(key)
     assert len(list((tmp_path / "log" / "seasonName=20002001").glob("*.parquet"))) > 1
+
+
+def test_odds_join_keeps_the_partitioning(spark):
+    from tallyboard.operators import evaluate
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        games, forecasts, odds = (stage(f(spark, SF), "t") for f in (fx.games, fx.snapshots, fx.odds))
+        plan = plan_of(evaluate.with_odds(evaluate.snapshot_accuracy(forecasts, games), odds))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(gameId") == 3 == plan.count("Exchange")
