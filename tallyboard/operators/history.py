@@ -1,6 +1,6 @@
 """Features of a game taken from strictly earlier days, for both of its sides.
 
-`**options` go to `timeline.prior_days`, for instance `one_game_per_day=True`.
+`**options` go to `timeline.prior_days`, for instance `short=True`.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Team-game rows and history windows over them.
 
-A team can appear in any number of games, so no window here runs over game rows.
-Games are first summed per (season, team, day), and only the last few games of a
+A team can appear in any number of games. Where every (season, team) is counted to
+be short, row windows over its games do. Otherwise no window runs over game rows:
+games are first summed per (season, team, day), and only the last few games of a
 day are kept individually; both steps combine on the map side. What is left per
 (season, team) is bounded by the calendar, and windows run over that.
 """
@@ -20,6 +21,8 @@ from tallyboard.session import stage
 
 # A day is crowded for a team when it has this many times the games a window needs.
 CROWDED = 100
+# A key is short up to this many games: a sort that one task does in seconds.
+SHORT = 100_000
 
 
 def lead(scenario: str | None) -> list[str]:
@@ -60,7 +63,7 @@ def prior_days(
     places_from: DataFrame | None = None,
     rest: bool = False,
     order: str = "gameId",
-    one_game_per_day: bool = False,
+    short: bool | None = None,
 ) -> DataFrame:
     """One row per key and day with totals over strictly earlier days.
 
@@ -71,9 +74,9 @@ def prior_days(
     `places_from`. `rest` adds the first game of the day and the day before it
     on which the team played.
 
-    `one_game_per_day=True` is a promise that (keys, day) is unique. A key then
-    has no more rows than its season has days, so plain row frames are exact and
-    the log is shuffled once.
+    If no key has more than `SHORT` games, the log is shuffled once and windows
+    run over its rows. `short=None` counts the games per key to know; True and
+    False skip the count.
     """
     rows = rows.where(F.col("gameDate").isNotNull())
     named = [measures[m].cast("double").alias(m) for m in measures]
@@ -82,8 +85,12 @@ def prior_days(
         # Null, hence not collected, when a coordinate is missing.
         spot = located(F.col("venue_lat"), F.col("venue_long"))
         places_from = places_from.select("venue", spot.alias("_spot"))
-    if one_game_per_day:
-        return _one_game_days(base, keys, list(measures), spans, places, places_from, rest, order)
+    if short is None:
+        # Combines to one row per key and task before the shuffle.
+        longest = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        short = (longest or 0) <= SHORT
+    if short:
+        return _short_days(base, keys, list(measures), spans, places, places_from, rest, order)
     days = base.groupBy(*keys, "gameDate").agg(
         F.count(F.lit(1)).alias("_games"),
         F.min(order).alias("_first"),
@@ -211,7 +218,7 @@ def _late_games(
     )
 
 
-def _one_game_days(
+def _short_days(
     base: DataFrame,
     keys: Sequence[str],
     measures: Sequence[str],
@@ -221,27 +228,32 @@ def _one_game_days(
     rest: bool,
     order: str,
 ) -> DataFrame:
-    """`prior_days` for keys with at most one game a day."""
-    by_day = Window.partitionBy(*keys).orderBy("gameDate")
-
-    def last(n: int):
-        return by_day.rowsBetween(-n, -1)
-
-    def total(measure: str, frame) -> Column:
-        return F.coalesce(F.sum(measure).over(frame), F.lit(0.0))
+    """`prior_days` for keys of few games, from windows over the games themselves.
 
+    Seen from the first game of a day, the rows before it are just the games of
+    earlier days; the other games of the day are dropped.
+    """
+    by_game = Window.partitionBy(*keys).orderBy("gameDate", order)
+    before = by_game.rowsBetween(Window.unboundedPreceding, -1)
     if places:
         base = base.join(places_from, "venue", "left")
-    so_far = by_day.rowsBetween(Window.unboundedPreceding, -1)
-    return base.select(
+    new = {f"{m}_toDate": F.coalesce(F.sum(F.coalesce(m, F.lit(0.0))).over(before), F.lit(0.0)) for m in measures}
+    new["previousDate"] = F.lag("gameDate").over(by_game)
+    if places:
+        new["priorVenues"] = F.collect_list("_spot").over(by_game.rowsBetween(-places, -1))
+    timeline = base.withColumns(new).withColumns(
+        {
+            f"{m}_{n}": F.col(f"{m}_toDate") - F.coalesce(F.lag(f"{m}_toDate", n).over(by_game), F.lit(0.0))
+            for m in measures
+            for n in spans
+        }
+    )
+    opening = F.col("previousDate").isNull() | (F.col("previousDate") < F.col("gameDate"))
+    return timeline.where(opening).select(
         *keys,
         "gameDate",
-        *[total(m, so_far).alias(f"{m}_toDate") for m in measures],
-        *[total(m, last(n)).alias(f"{m}_{n}") for m in measures for n in spans],
-        *([F.collect_list("_spot").over(last(places)).alias("priorVenues")] if places else []),
-        *(
-            [F.col(order).alias("firstGameId"), F.lag("gameDate").over(by_day).alias("previousDate")]
-            if rest
-            else []
-        ),
+        *[f"{m}_toDate" for m in measures],
+        *[f"{m}_{n}" for m in measures for n in spans],
+        *(["priorVenues"] if places else []),
+        *([F.col(order).alias("firstGameId"), "previousDate"] if rest else []),
     )

@@ -97,8 +97,7 @@ def test_feature_set_equals_a_scan_per_game(spark, unique_days):
     games, rows = random_log(spark, unique_days=unique_days)
     coordinates = {f"V{i}": (10.0 * i, -20.0 * i) for i in range(4)}
     want = brute(rows, coordinates)
-    variants = [{}] + ([{"one_game_per_day": True}] if unique_days else [])
-    for options in variants:
+    for options in ({}, {"short": True}, {"short": False}):
         got = by_id(history.feature_set(games, places(spark), **options))
         assert len(got) == len(rows)
         for gid, feats in want.items():
@@ -106,8 +105,10 @@ def test_feature_set_equals_a_scan_per_game(spark, unique_days):
                 assert same(got[gid][name], value), (gid, name, got[gid][name], value)
 
 
-def test_one_hot_team_and_day(spark):
+@pytest.mark.parametrize("limit", [10, 100_000])
+def test_one_hot_team_and_day(spark, monkeypatch, limit):
     """A single team-day far above the window length: only its last games may count."""
+    monkeypatch.setattr(timeline, "SHORT", limit)
     rows = [game(i, "2024-10-01", "A", f"B{i % 9}", 2, 1) for i in range(500)]
     rows += [game(1000, "2024-10-01", "A", "B0", 0, 4), game(1001, "2024-10-02", "A", "B1", 1, 1)]
     out = by_id(history.prior_results(log(spark, *rows), 3))[1001]
@@ -129,10 +130,13 @@ def test_crowded_days_give_the_same(spark, monkeypatch):
         rows.append(game(gid * 10_000 + i, day, "A", f"B{i % 4}", rng.randrange(4), rng.randrange(4)))
     rows += [game(5, "2024-10-04", "A", "B0", 1, 0), game(6, "2024-10-06", "C", "A", 1, 0)]
     games = log(spark, *rows)
-    plain = history.prior_results(games, 7).where("gameDate >= '2024-10-02'")
+    late = "gameDate >= '2024-10-02'"
+    short = history.prior_results(games, 7).where(late)
+    plain = history.prior_results(games, 7, short=False).where(late)
     monkeypatch.setattr(timeline, "CROWDED", 1)
-    tiered = history.prior_results(games, 7).where("gameDate >= '2024-10-02'")
-    assert plain.exceptAll(tiered).count() == 0 and plain.count() == tiered.count()
+    tiered = history.prior_results(games, 7, short=False).where(late)
+    for other in (plain, tiered):
+        assert short.exceptAll(other).count() == 0 and short.count() == other.count()
 
 
 def test_unplayed_game_takes_a_place(spark):
@@ -226,6 +230,7 @@ def test_hot_days_are_limited_before_the_shuffle(spark, tmp_path):
         ["seasonName", "teamName"],
         {"wins": F.col("teamScore") > F.col("opponentScore")},
         spans=(3,),
+        short=False,
     )
     plan = days._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2

@@ -7,7 +7,7 @@ import pytest
 from check_oracle import TABLES, compare, connect
 from pyspark.sql import functions as F
 
-from tallyboard.operators import history, standings
+from tallyboard.operators import history, standings, timeline
 from tallyboard.plans import fixtures as fx
 from tallyboard.session import stage
 from tallyboard.sources import readers, writers
@@ -42,6 +42,16 @@ def test_lopsided_log(spark, lopsided, name):
     assert ok, note
 
 
+@pytest.mark.parametrize("crowded", [1, 100])
+@pytest.mark.parametrize("name", ["feature_set", "prior_results", "prior_results_season", "prior_goals_team"])
+def test_lopsided_log_as_if_long(spark, lopsided, monkeypatch, name, crowded):
+    """The same where no team counts as short, with and without thinning crowded days."""
+    monkeypatch.setattr(timeline, "SHORT", 0)
+    monkeypatch.setattr(timeline, "CROWDED", crowded)
+    ok, note = compare(spark, connect(lopsided), lopsided, name)
+    assert ok, note
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
