@@ -7,7 +7,7 @@ import pytest
 from check_oracle import TABLES, compare, connect
 from pyspark.sql import functions as F
 
-from tallyboard.operators import history, standings, timeline
+from tallyboard.operators import evaluate, history, standings, timeline
 from tallyboard.plans import fixtures as fx
 from tallyboard.session import stage
 from tallyboard.sources import readers, writers
@@ -119,8 +119,6 @@ def test_a_large_season_is_written_by_several_tasks(spark, tmp_path):
 
 
 def test_odds_join_keeps_the_partitioning(spark):
-    from tallyboard.operators import evaluate
-
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         games, forecasts, odds = (stage(f(spark, SF), "t") for f in (fx.games, fx.snapshots, fx.odds))
