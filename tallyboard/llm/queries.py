@@ -4,23 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyboard.llm import lines, tokens
+from tallyboard.llm import chat, decontam, lines, tokens, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op3_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.clean_lines(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_chat_format": op2_chat_format,
     "op3_line_cleaning": op3_line_cleaning,
+    "op5_decontamination": op5_decontamination,
     "op9_token_counts": op9_token_counts,
 }
 
