@@ -70,6 +70,7 @@ class Pieces:
         for b, i in self.byte_ids.items():
             self.spelled[i] = chr(b) if b < 0x80 else chr(0xDC00 + b)
         self.spelled[model.unk_id()] = " ⁇ "
+        self.controls = frozenset(i for i in ids if model.is_control(i))
         # Pieces that come out of their own text; the others end no prefix.
         alone = [p for p in self.ids if self._merge(p) == [p]]
         self.pieces = frozenset(alone)
@@ -204,14 +205,30 @@ class Pieces:
         return out
 
     def decode(self, ids) -> str:
-        text = "".join(map(self.spelled.__getitem__, ids)).replace(MARK, " ")
-        if not text.isascii() and re.search("[\udc80-\udcff]", text):
-            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "tallyboard-pieces")
+        spelled = self.spelled
+        if self.controls.isdisjoint(ids):
+            text = _joined("".join(map(spelled.__getitem__, ids)))
+        else:
+            # Bytes on either side of a control piece are no characters together.
+            text, run = "", []
+            for i in ids:
+                if i in self.controls:
+                    text, run = text + _joined("".join(run)), []
+                else:
+                    run.append(spelled[i])
+            text += _joined("".join(run))
         # The first piece that reads as anything loses its mark.
-        first = next((x for x in map(self.spelled.__getitem__, ids) if x), "")
+        first = next((x for x in map(spelled.__getitem__, ids) if x), "")
         return text[1:] if first[:1] == MARK else text
 
 
+def _joined(text: str) -> str:
+    text = text.replace(MARK, " ")
+    if not text.isascii() and re.search("[\udc80-\udcff]", text):
+        text = text.encode("utf-8", "surrogateescape").decode("utf-8", "tallyboard-pieces")
+    return text
+
+
 _models: dict[str, Pieces] = {}
 
 

@@ -1,8 +1,8 @@
 r"""Quality classifier on learned subword embeddings.
 
-A text's features are its words and the 3- to 5-grams of its bytes, hashed to a fixed number of
-buckets. Each bucket has a learned vector; a text is the mean of its features' vectors, and a softmax
-layer over that mean gives the class. Both are learned together by stochastic gradient descent in
+A text's features are its words, whether each is the one before it again, and the 3- to 5-grams of
+its bytes, hashed to a fixed number of buckets. Each bucket has a learned vector; a text is the mean over the kinds of feature of the mean of
+their vectors, and a softmax layer over it gives the class. Both are learned together by stochastic gradient descent in
 numpy, from a bounded sample of labelled documents.
 
 Since the layer is linear in the mean, a bucket's vector and the layer fold into one number per
@@ -22,6 +22,7 @@ from tallyboard.llm.words import SPACED, Words, chunks, mix
 LOG_BUCKETS = 16
 _BUCKETS = 1 << LOG_BUCKETS
 _SIZES = (3, 4, 5)
+_KINDS = 2 + len(_SIZES)
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -31,7 +32,13 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 def feature_buckets(data: np.ndarray, offsets: np.ndarray):
     """Pairs (bounds, buckets): buckets of all features of one kind, text i's from bounds[i] on."""
     words = Words(data, offsets, SPACED, lower=False)
-    yield words.first, _bucket(words.hashes() if len(words) else np.zeros(0, np.uint64))
+    hashes = words.hashes() if len(words) else np.zeros(0, np.uint64)
+    yield words.first, _bucket(hashes)
+    # Word pairs have a bucket for a word said again and one for a new word, whatever the words are.
+    pair = np.zeros(len(hashes), dtype=np.int32)
+    pair[1:] = hashes[1:] == hashes[:-1]
+    pair[words.first[:-1][np.diff(words.first) > 0]] = 0
+    yield words.first, pair
     wide = data.astype(np.uint64)
     for size in _SIZES:
         n = len(wide) - size + 1
@@ -62,16 +69,15 @@ def score_column(folded: np.ndarray, bias: float, column: pa.Array) -> np.ndarra
     """Probability of class 1 of each text; `folded` is what one feature adds to its log odds."""
     out = []
     for _, _, data, offsets in chunks(column):
-        total, n = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
+        total = np.zeros(len(offsets) - 1)
         for bounds, buckets in feature_buckets(data, offsets):
-            total += _sums(folded[buckets], bounds)
-            n += np.diff(bounds)
-        out.append(1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + bias, -500, 500))))
+            total += _sums(folded[buckets], bounds) / np.maximum(np.diff(bounds), 1)
+        out.append(1 / (1 + np.exp(-np.clip(total / _KINDS + bias, -500, 500))))
     return np.concatenate(out) if out else np.zeros(0)
 
 
 def sparse_features(docs: DataFrame) -> DataFrame:
-    """label, buckets, shares: each text's distinct buckets and what share of its features they hold."""
+    """label, buckets, shares: each text's distinct buckets of each kind and their weights in the mean."""
 
     def count(batches):
         for batch in batches:
@@ -79,11 +85,14 @@ def sparse_features(docs: DataFrame) -> DataFrame:
             for _, _, data, offsets in chunks(batch.column(1)):
                 kinds = list(feature_buckets(data, offsets))
                 for i in range(len(offsets) - 1):
-                    mine = np.concatenate([b[bounds[i] : bounds[i + 1]] for bounds, b in kinds])
-                    values, n = np.unique(mine, return_counts=True)
-                    kept.append(values)
-                    shares.append((n / max(1, len(mine))).astype(np.float32))
-                    lengths.append(len(values))
+                    length = 0
+                    for bounds, b in kinds:
+                        mine = b[bounds[i] : bounds[i + 1]]
+                        values, n = np.unique(mine, return_counts=True)
+                        kept.append(values)
+                        shares.append((n / max(1, len(mine)) / _KINDS).astype(np.float32))
+                        length += len(values)
+                    lengths.append(length)
             bounds = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -97,11 +106,12 @@ def sparse_features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "label int, buckets array<int>, shares array<float>")
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], width: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 1):
+def fit(
+    rows: list[tuple[int, np.ndarray, np.ndarray]], width: int = 8, epochs: int = 10, rate: float = 0.5, seed: int = 1
+):
     """(folded, bias) from (label, buckets, shares) rows, by AdaGrad steps over small batches.
 
-    Classes weigh the same however often they occur. Without rows of both classes every text scores
-    the share of class 1, or 0.5 without rows.
+    Without rows of both classes every text scores next to 1 or 0, as those rows do, or 0.5 without rows.
     """
     labels = np.array([r[0] for r in rows], dtype=int)
     if len(set(labels.tolist())) < 2:
@@ -110,11 +120,10 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], width: int = 16, epochs:
     vectors = rng.uniform(-1 / width, 1 / width, (_BUCKETS, width)).astype(np.float32)
     layer = rng.uniform(-1 / width, 1 / width, (width, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    weights = len(labels) / (2 * np.bincount(labels, minlength=2))
     seen = np.full((_BUCKETS, 1), 1e-8, np.float32)
     seen_layer = np.full(layer.shape, 1e-8, np.float32)
     seen_bias = np.full(2, 1e-8, np.float32)
-    size = 32
+    size = 64
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for begun in range(0, len(order), size):
@@ -132,27 +141,25 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], width: int = 16, epochs:
             chance /= chance.sum(axis=1, keepdims=True)
             y = np.array([r[0] for r in picked])
             chance[np.arange(len(y)), y] -= 1
-            error = (chance * weights[y][:, None] / len(picked)).astype(np.float32)
+            error = (chance / len(picked)).astype(np.float32)
             back = error @ layer.T
             step_layer, step_bias = mean.T @ error, error.sum(axis=0)
             seen_layer += step_layer**2
             seen_bias += step_bias**2
             layer -= rate * step_layer / np.sqrt(seen_layer)
             bias -= rate * step_bias / np.sqrt(seen_bias)
-            distinct, place = np.unique(buckets, return_inverse=True)
-            by_bucket = np.argsort(place, kind="stable")
-            edges = np.searchsorted(place[by_bucket], np.arange(len(distinct)))
-            if len(distinct):
-                step = np.add.reduceat((back[owner] * shares[:, None])[by_bucket], edges, axis=0)
-                seen[distinct] += (step**2).mean(axis=1, keepdims=True)
-                vectors[distinct] -= rate * step / np.sqrt(seen[distinct])
+            step = np.empty_like(vectors)
+            for j in range(width):
+                step[:, j] = np.bincount(buckets, back[owner, j] * shares, _BUCKETS)
+            seen += (step**2).mean(axis=1, keepdims=True)
+            vectors -= rate * step / np.sqrt(seen)
     # A bucket that no row has still holds its random start; it says nothing about a text.
     known = seen[:, 0] > 2e-8
     folded = np.where(known, vectors @ (layer[:, 1] - layer[:, 0]), 0).astype(np.float32)
     return folded, float(bias[1] - bias[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000):
+def train(docs: DataFrame, labels: DataFrame, sample: int = 2000):
     """Model from at most `sample` labelled rows, those with the smallest hash of doc_id.
 
     Only rows with crc32(doc_id as text) mod 3 other than 1 are learned from. Rows without a label or
@@ -201,7 +208,7 @@ def score(docs: DataFrame, model) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> DataFrame:
     """The rows of `docs` that the classifier predicts as class 1, with all their columns."""
     model = train(docs, labels, sample)
     spark = docs.sparkSession
