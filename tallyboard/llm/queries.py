@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyboard.llm import chat, decontam, jaccard, lines, pieces, subword, tokens, url_filter
+from tallyboard.llm import chat, decontam, jaccard, lines, pieces, pii, subword, tokens, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_line_cleaning": op3_line_cleaning,
     "op5_decontamination": op5_decontamination,
+    "op6_personal_data": op6_personal_data,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_counts": op9_token_counts,
