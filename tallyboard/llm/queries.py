@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyboard.llm import chat, decontam, jaccard, lines, pieces, pii, subword, tokens, url_filter
+from tallyboard.llm import chat, decontam, jaccard, lines, passages, pieces, pii, subword, tokens, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.clean_lines(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_chat_format": op2_chat_format,
     "op3_line_cleaning": op3_line_cleaning,
+    "op4_passages": op4_passages,
     "op5_decontamination": op5_decontamination,
     "op6_personal_data": op6_personal_data,
     "op7_jaccard_join": op7_jaccard_join,
