@@ -1,24 +1,68 @@
-"""From raw documents to encoded training text: the stages, and the run over a folder of tables."""
+"""From raw documents to encoded training text: the stages, and the run over a folder of tables.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last
+return the columns of `documents`; the last returns each document's ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyboard.llm import decontam, jaccard, pieces, pii, subword
 from tallyboard.session import stage
 
-#: (name, function of (spark, docs, sf_dir)) in order.
-STAGES: list = []
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled ones among `docs`."""
+    return subword.accepted(docs, _table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontam.without_leaks(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked; n_chars follows the text."""
+    clean = pii.without_personal(docs)
+    if "n_chars" not in clean.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_pieces and ids of every document."""
+    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"))
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("jaccard_join", near_copies),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("sentencepiece", encoding),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each one's result is written as Parquet and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stage(docs, name)
-    return docs
+    docs = _table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: A trained classifier decides in the first stage, which SQL can't express.
+#: The classifier and the random field are trained models, which SQL can't express; the run is held
+#: against a plain version in the tests.
 ORACLE_SQL = None

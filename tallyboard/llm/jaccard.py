@@ -131,12 +131,17 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def _text_key(docs: DataFrame):
+    """Tells apart rows that share an id."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the set), slack and sketch of every row."""
+    """doc_id, text_key, n_shingles, node (a hash of the set), slack and sketch of every row."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(1)):
+            for lo, hi, data, offsets in chunks(batch.column(2)):
                 sets = Sets(data, offsets)
                 slack = np.full(hi - lo, 1 << 30)
                 for mine, left, _, _ in sets.cells():
@@ -144,16 +149,18 @@ def described(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
+                        batch.column(1).slice(lo, hi - lo),
                         pa.array(sets.sizes.astype(np.int64)),
                         pa.array(sets.nodes.view(np.int64)),
                         pa.array(slack.astype(np.int32)),
                         pa.array(sets.sketches(), pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "node", "slack", "sketch"],
+                    ["doc_id", "text_key", "n_shingles", "node", "slack", "sketch"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _texts(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, slack int, sketch binary")
+    texts = docs.select("doc_id", _text_key(docs), F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return texts.mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, node long, slack int, sketch binary")
 
 
 def shared_keys(docs: DataFrame) -> DataFrame:
@@ -357,7 +364,30 @@ def _weak_prefixes(docs: DataFrame, weak: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of `docs`.
+    """doc_id, n_shingles and component_id of every row of `docs`; see `grouped`."""
+    return grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` with one of each group of near copies, that of the smallest id (null ids come
+    first, and of rows with one id the text with the smallest hash); rows without words all stay."""
+    groups = stage(grouped(docs), "groups")
+    best = groups.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
+    kept = best.select("best.*").union(groups.where("n_shingles = 0").select("doc_id", "text_key").distinct())
+    kept = kept.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
+    on = docs["doc_id"].eqNullSafe(kept["_doc"]) & (_text_key(docs) == kept["_key"])
+    stays = docs.join(kept, on, "left_semi")
+    # Rows given more than once are copies too.
+    twice = groups.where("n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1")
+    if twice.isEmpty():
+        return stays
+    twice = twice.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
+    on = stays["doc_id"].eqNullSafe(twice["_doc"]) & (_text_key(stays) == twice["_key"])
+    return stays.join(twice, on, "left_anti").union(stays.join(twice, on, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, comp (of its group) and component_id of every row of `docs`.
 
     `docs` needs doc_id and text; other columns are not read. component_id is the smallest doc_id that
     links of similarity 0.8 or more reach. Null text has an empty set, and empty sets link with
@@ -409,7 +439,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
             break
         leaders *= 2
 
-    comp = every.join(links.comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+    comp = every.join(links.comps, "node", "left").select(
+        "doc_id", "text_key", "n_shingles", F.coalesce("comp", "node").alias("comp")
+    )
     least = comp.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = comp.where("n_shingles > 0").join(least, "comp").select("doc_id", "n_shingles", "component_id")
-    return out.union(comp.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = comp.where("n_shingles > 0").join(least, "comp").select(*comp.columns, "component_id")
+    return out.union(comp.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
