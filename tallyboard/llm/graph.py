@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyboard.session import stage
@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
         )
         own = labels.select(F.col("node").alias("_at"), F.col("comp").alias("_next"))
         jumped = hooked.join(own, hooked["comp"] == own["_at"]).select("node", "old", F.least("comp", "_next").alias("comp"))
-        jumped = stage(jumped, "labels")
-        labels = jumped.select("node", "comp")
-        if jumped.where("old != comp").isEmpty():
+        moved = Observation()
+        labels = stage(jumped.observe(moved, F.count_if(F.col("old") != F.col("comp")).alias("n")), "labels").select("node", "comp")
+        if not moved.get["n"]:
             return labels

@@ -313,6 +313,10 @@ class _Links:
     def try_out(self, pairs: DataFrame) -> None:
         """Compare distinct pairs, of each set with its smallest partner first and then what is still apart."""
         pairs = stage(likely(pairs, self.sets), "likely")
+        if pairs.isEmpty():
+            if self.comps is None:
+                self.comps = components(pairs)
+            return
         least = pairs.groupBy("b").agg(F.min("a").alias("_a")).withColumnRenamed("b", "_b")
         self.compare(pairs.join(least, (F.col("b") == F.col("_b")) & (F.col("a") == F.col("_a"))).drop("_a", "_b"))
         rest = stage(self.apart(pairs), "rest")
@@ -424,20 +428,17 @@ def grouped(docs: DataFrame) -> DataFrame:
     if not pairs.isEmpty():
         links.try_out(pairs)
     # Then what still stands apart in a group, from ever more of its sets.
-    leaders = 1
+    before, leaders = 0, 16
     while True:
         order = Window.partitionBy("key").orderBy("node")
         groups = _in_groups(rows, links).withColumn("place", F.row_number().over(order))
-        first = groups.where(f"place > {leaders // 2} AND place <= {leaders}")
-        rest = groups.where(f"place > {leaders // 2}")
-        left = first.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-        right = rest.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-        more = stage(left.join(right, "key").where("a < b AND comp_a != comp_b").select("a", "b").distinct(), "more")
-        if not more.isEmpty():
-            links.try_out(more)
-        elif groups.where(f"place > {leaders}").isEmpty():
+        groups = stage(groups.where(f"place > {before}"), "weak_groups")
+        if groups.isEmpty():
             break
-        leaders *= 2
+        left = groups.where(f"place <= {leaders}").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
+        right = groups.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+        links.try_out(left.join(right, "key").where("a < b AND comp_a != comp_b").select("a", "b").distinct())
+        before, leaders = leaders, leaders * 16
 
     comp = every.join(links.comps, "node", "left").select(
         "doc_id", "text_key", "n_shingles", F.coalesce("comp", "node").alias("comp")
