@@ -1,7 +1,4 @@
-"""Features of a game taken from strictly earlier days, for both of its sides.
-
-`**options` go to `timeline.prior_days`, for instance `short=True`.
-"""
+"""Features of a game taken from strictly earlier days, for both of its sides."""
 
 from __future__ import annotations
 
@@ -12,8 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyboard.functions import scoring
 from tallyboard.functions.geo import EARTH_RADIUS_KM, half_angle, located
-from tallyboard.operators.timeline import lead, prior_days, team_games
-from tallyboard.session import stage
+from tallyboard.operators.timeline import game_order, lead, prior_days, team_games
 
 SIDES = ("home", "away")
 # Fixed value: the number of prior games that stands for "the season so far".
@@ -87,7 +83,6 @@ def prior_results(
     n: int | None = SEASON_GAMES,
     scenario: str | None = None,
     count_shootout: bool = True,
-    **options,
 ) -> DataFrame:
     """Wins, losses and late losses of both sides in their previous n games.
 
@@ -95,15 +90,8 @@ def prior_results(
     the window with result 0.
     """
     span = "toDate" if n is None else str(n)
-    days = stage(
-        prior_days(
-            team_games(games, scenario),
-            _team_keys(scenario),
-            _results(count_shootout),
-            () if n is None else (n,),
-            **options,
-        ),
-        "prior_results",
+    days = prior_days(
+        team_games(games, scenario), _team_keys(scenario), _results(count_shootout), () if n is None else (n,)
     )
     out = games
     for side in SIDES:
@@ -124,12 +112,9 @@ def points_pct(
     games: DataFrame,
     spans: Sequence[int] = (SEASON_GAMES, 3, 7),
     scenario: str | None = None,
-    **options,
 ) -> DataFrame:
     """Share of possible points in the previous n games, one column per n and side."""
-    days = stage(
-        prior_days(team_games(games, scenario), _team_keys(scenario), _results(), spans, **options), "points_pct"
-    )
+    days = prior_days(team_games(games, scenario), _team_keys(scenario), _results(), spans)
     out = games
     for side in SIDES:
         out = _attach(
@@ -147,17 +132,13 @@ def prior_goals(
     spans: Sequence[int] = (3, 7),
     perspective: str = "fixed_side",
     scenario: str | None = None,
-    **options,
 ) -> DataFrame:
     """Goals in the previous n games.
 
     "fixed_side" adds up the score of the home (or away) side of a team's games,
     whichever side the team was on; "team" adds up the team's own goals.
     """
-    days = stage(
-        prior_days(team_games(games, scenario), _team_keys(scenario), _goals(perspective), spans, **options),
-        "prior_goals",
-    )
+    days = prior_days(team_games(games, scenario), _team_keys(scenario), _goals(perspective), spans)
     out = games
     for side in SIDES:
         new: dict[str, Column] = {}
@@ -170,16 +151,14 @@ def prior_goals(
 def _rest(side: str) -> dict[str, Column]:
     # Later games on one day follow a game of that day, hence 0.
     days = F.when(
-        F.col("gameId") == F.col("firstGameId"), F.datediff("gameDate", "previousDate")
-    ).when(F.col("firstGameId").isNotNull(), 0)
+        game_order().eqNullSafe(F.col("firstGame")), F.datediff("gameDate", "previousDate")
+    ).when(F.col("firstGame").isNotNull(), 0)
     return {f"{side}TeamDaysSinceLastGame": days}
 
 
-def rest_days(games: DataFrame, scenario: str | None = None, **options) -> DataFrame:
+def rest_days(games: DataFrame, scenario: str | None = None) -> DataFrame:
     """Days since each side's previous game of the season; null for its first."""
-    days = stage(
-        prior_days(team_games(games, scenario), _team_keys(scenario), {}, rest=True, **options), "rest_days"
-    )
+    days = prior_days(team_games(games, scenario), _team_keys(scenario), {}, rest=True)
     out = games
     for side in SIDES:
         out = _attach(out, days, side, scenario, _rest(side))
@@ -196,22 +175,14 @@ def _travel(side: str, n: int) -> dict[str, Column]:
 
 
 def travel_load(
-    games: DataFrame, venues: DataFrame, n_games: int = 7, scenario: str | None = None, **options
+    games: DataFrame, venues: DataFrame, n_games: int = 7, scenario: str | None = None
 ) -> DataFrame:
     """Mean distance from the game's venue to the venues of the previous n games.
 
     Venues without coordinates are skipped; null when nothing is left to average.
     """
-    days = stage(
-        prior_days(
-            team_games(games, scenario, carry=["venue"]),
-            _team_keys(scenario),
-            {},
-            places=n_games,
-            places_from=venues,
-            **options,
-        ),
-        "travel_load",
+    days = prior_days(
+        team_games(games, scenario, carry=["venue"]), _team_keys(scenario), {}, places=n_games, places_from=venues
     )
     out = _with_place(games, venues)
     for side in SIDES:
@@ -281,7 +252,7 @@ def series_score(games: DataFrame, scenario: str | None = None) -> DataFrame:
 
     Null outside the playoffs.
     """
-    return _attach_series(games, stage(pair_days(games, scenario), "series_score"), scenario)
+    return _attach_series(games, pair_days(games, scenario), scenario)
 
 
 def feature_days(
@@ -289,7 +260,6 @@ def feature_days(
     venues: DataFrame,
     perspective: str = "fixed_side",
     scenario: str | None = None,
-    **options,
 ) -> DataFrame:
     """All per-team history of the feature set at (season, team, day) grain, in one pass."""
     goals = _goals(perspective)
@@ -301,7 +271,6 @@ def feature_days(
         places=7,
         places_from=venues,
         rest=True,
-        **options,
     )
 
 
@@ -310,7 +279,6 @@ def feature_set(
     venues: DataFrame,
     perspective: str = "fixed_side",
     scenario: str | None = None,
-    **options,
 ) -> DataFrame:
     """The log with the history features of both sides.
 
@@ -318,14 +286,11 @@ def feature_set(
     travel over 7 games and the series score.
     """
     spans = (3, 7)
-    days = feature_days(games, venues, perspective, scenario, **options)
+    days = feature_days(games, venues, perspective, scenario)
     shares = {f"share_{n}": _points_share(str(n)) for n in (SEASON_GAMES, *spans)}
     goals = [f"{m}_{n}" for m in ("first", "second") for n in spans]
-    days = stage(
-        days.withColumns(shares).select(
-            *_team_keys(scenario), "gameDate", *shares, *goals, "priorVenues", "firstGameId", "previousDate"
-        ),
-        "feature_days",
+    days = days.withColumns(shares).select(
+        *_team_keys(scenario), "gameDate", *shares, *goals, "priorVenues", "firstGame", "previousDate"
     )
     out = _with_place(games, venues)
     for side in SIDES:
@@ -337,4 +302,4 @@ def feature_set(
         out = _attach(out, days, side, scenario, new)
     added = [c for c in out.columns if c not in games.columns and c != "_here"]
     out = out.select(*games.columns, *added)
-    return _attach_series(out, stage(pair_days(games, scenario), "pair_days"), scenario)
+    return _attach_series(out, pair_days(games, scenario), scenario)

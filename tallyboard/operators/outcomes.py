@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,33 +41,57 @@ def _stage_counts() -> list[Column]:
     return [F.count_if(F.col("roundsWon") >= k).alias(stage) for k, stage in STAGES.items()]
 
 
-def _tally(outcomes: DataFrame, counts: list[Column], names: list[str], teams: DataFrame | None) -> DataFrame:
-    """Counts per team with their share of all scenarios; teams without any get zeros."""
-    tally = outcomes.groupBy("teamName").agg(*counts)
+def _tally(
+    outcomes: DataFrame,
+    counts: list[Column],
+    names: list[str],
+    teams: DataFrame | None,
+    by: Sequence[str],
+    scenario: str,
+) -> DataFrame:
+    """Counts per team with their share of all runs; teams without any get zeros.
+
+    A run is one season of one scenario, so shares stay within 100 whatever seasons
+    a group holds. The runs are counted from their key columns alone.
+    """
+    by = list(by)
+    run = [c for c in (scenario, "seasonName") if c in outcomes.columns]
+    runs = outcomes.select(*{*by, *run}).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    tally = outcomes.groupBy(*by, "teamName").agg(*counts)
     if teams is not None:
-        tally = teams.select("teamName").join(tally, "teamName", "left").na.fill(0, names)
-    scenarios = outcomes.agg(F.countDistinct("iteration")).scalar()
-    counted = tally.withColumn("_n", scenarios)
+        league = teams.agg(F.collect_set("teamName")).scalar()
+        every = runs.select(*by, "_n", F.explode(league).alias("teamName"))
+        counted = every.join(tally, [*by, "teamName"], "left").na.fill(0, names)
+    elif by:
+        counted = tally.join(runs, by)
+    else:
+        counted = tally.withColumn("_n", runs.scalar())
     share = {f"{name}_%": F.col(name) / F.col("_n") * 100 for name in names}
     if "missed" in names:
         share["playoff_%"] = (F.col("_n") - F.col("missed")) / F.col("_n") * 100
     return counted.withColumns(share).drop("_n")
 
 
-def seed_probabilities(outcomes: DataFrame, teams: DataFrame | None = None) -> DataFrame:
+def seed_probabilities(
+    outcomes: DataFrame, teams: DataFrame | None = None, by: Sequence[str] = (), scenario: str = "iteration"
+) -> DataFrame:
     """How often each team ended on each seed, as counts and percentages."""
-    return _tally(outcomes, _seed_counts(), list(SEEDS), teams)
+    return _tally(outcomes, _seed_counts(), list(SEEDS), teams, by, scenario)
 
 
-def round_probabilities(outcomes: DataFrame, teams: DataFrame | None = None) -> DataFrame:
+def round_probabilities(
+    outcomes: DataFrame, teams: DataFrame | None = None, by: Sequence[str] = (), scenario: str = "iteration"
+) -> DataFrame:
     """How often each team reached each round, as counts and percentages."""
-    return _tally(outcomes, _stage_counts(), list(STAGES.values()), teams)
+    return _tally(outcomes, _stage_counts(), list(STAGES.values()), teams, by, scenario)
 
 
-def outcome_probabilities(outcomes: DataFrame, teams: DataFrame | None = None) -> DataFrame:
-    """Seeds and rounds together, from one pass over the scenario table."""
+def outcome_probabilities(
+    outcomes: DataFrame, teams: DataFrame | None = None, by: Sequence[str] = (), scenario: str = "iteration"
+) -> DataFrame:
+    """Seeds and rounds together, in one aggregate; `by=["seasonName"]` keeps seasons apart."""
     names = [*SEEDS, *STAGES.values()]
-    return _tally(outcomes, [*_seed_counts(), *_stage_counts()], names, teams)
+    return _tally(outcomes, [*_seed_counts(), *_stage_counts()], names, teams, by, scenario)
 
 
 def probability_report(table: DataFrame) -> DataFrame:

@@ -129,10 +129,21 @@ def replace_tail(stored: DataFrame, fresh: DataFrame, today: str) -> DataFrame:
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
-def write_back(base: DataFrame, updates: DataFrame, columns: Sequence[str], key: str = "gameId") -> DataFrame:
-    """Overwrite `columns` of `base` where `updates` has a value for the key."""
-    new = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
-    joined = base.join(new, key, "left")
+def write_back(
+    base: DataFrame, updates: DataFrame, columns: Sequence[str], key: str | Sequence[str] = "gameId"
+) -> DataFrame:
+    """Overwrite `columns` of `base` where `updates` has a value for the key.
+
+    Keys match null-safely; games without an id need a key that tells them apart,
+    such as day and teams. Of several updates of a key the largest value counts,
+    so no row of `base` is multiplied.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    new = updates.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(
+        *[F.max(c).alias(f"_new_{c}") for c in columns]
+    )
+    on = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    joined = base.join(new, on, "left")
     return joined.select(
         *[F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in base.columns]
     )

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyboard.functions import scoring
 from tallyboard.operators.timeline import lead, team_games
-from tallyboard.session import stage
 
 # Tie-break order and the column order of a standings table.
 TIEBREAKERS = [
@@ -40,7 +39,6 @@ STANDINGS_COLUMNS = [
     "totalGoalsFor",
 ]
 _COUNTED = ["Games", "Points", "Wins", "Losses", "OTLs", "RegWins", "RegOTWins", "GoalsFor", "GoalsAgainst"]
-_FILL_BUCKETS = 16
 
 
 def game_points(games: DataFrame, unplayed: str = "zero") -> DataFrame:
@@ -54,23 +52,18 @@ def game_points(games: DataFrame, unplayed: str = "zero") -> DataFrame:
     )
 
 
-def _with_every_team(totals: DataFrame, teams: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per season and team of the dimension; teams outside it drop out.
+def _roster(games: DataFrame, teams: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The (season, team) rows of the result.
 
-    The pairing of seasons with teams is the grain of the result. It is made by an
-    equi-join on a bucket of the team, so no task holds a whole side.
+    `teams` may be a roster with `seasonName`. A plain dimension stands for every
+    season: each season's row is then unfolded into the league's teams, which is
+    just the grain of the result.
     """
-    seasons = totals.select(*keys).distinct()
-    buckets = F.sequence(F.lit(0), F.lit(_FILL_BUCKETS - 1))
-    expected = (
-        seasons.withColumn("_bucket", F.explode(buckets))
-        .join(
-            teams.withColumn("_bucket", F.pmod(F.hash("teamName"), F.lit(_FILL_BUCKETS))),
-            "_bucket",
-        )
-        .drop("_bucket")
-    )
-    return expected.join(totals, [*keys, "teamName"], "left")
+    if "seasonName" in teams.columns:
+        season = teams.select("seasonName", "teamName")
+        return games.select(*keys).distinct().join(season, "seasonName") if len(keys) > 1 else season
+    league = teams.agg(F.collect_set("teamName")).scalar()
+    return games.select(*keys).distinct().select(*keys, F.explode(league).alias("teamName"))
 
 
 def team_totals(
@@ -100,21 +93,23 @@ def team_totals(
         "GoalsFor": F.coalesce(own, F.lit(0.0)),
         "GoalsAgainst": F.coalesce(other, F.lit(0.0)),
     }
-    rows = team_games(games.where(F.col("gameType").isin(*game_types)), scenario)
-    sums = [F.sum(stats[name]).alias(f"total{name}") for name in _COUNTED]
+    played = games.where(F.col("gameType").isin(*game_types))
+    rows = team_games(played, scenario).select(
+        *keys, "teamName", "side", *[value.alias(name) for name, value in stats.items()]
+    )
+    zeros = [F.lit(0).cast(rows.schema[name].dataType).alias(name) for name in _COUNTED]
+    nobody = _roster(played, teams, keys).select(*keys, "teamName", F.lit(None).cast("string").alias("side"), *zeros)
+    sums = [F.sum(name).alias(f"total{name}") for name in _COUNTED]
     if split:
         for side in ("home", "away"):
             sums += [
-                F.sum(F.when(F.col("side") == side, stats[name])).alias(f"total{side.title()}{name}")
+                F.sum(F.when(F.col("side") == side, F.col(name)).otherwise(0)).alias(f"total{side.title()}{name}")
                 for name in _COUNTED
             ]
-    # One row per season and team; staged, since the fill below reads it twice and
-    # the log should be aggregated once.
-    totals = stage(rows.groupBy(*keys, "teamName").agg(*sums), "team_totals")
-    counted = [c for c in totals.columns if c.startswith("total")]
-    filled = _with_every_team(totals, teams, keys).withColumns(
-        {c: F.coalesce(F.col(c), F.lit(0)) for c in counted}
-    )
+    # Teams without a game have their zeros from the roster, in the same aggregate.
+    totals = rows.unionByName(nobody).groupBy(*keys, "teamName").agg(*sums)
+    on = ["seasonName", "teamName"] if "seasonName" in teams.columns else ["teamName"]
+    filled = totals.join(teams, on)
     return filled.withColumns(
         {
             "goalDifferential": F.col("totalGoalsFor") - F.col("totalGoalsAgainst"),

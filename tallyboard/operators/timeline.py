@@ -1,9 +1,9 @@
 """Team-game rows and history windows over them.
 
-A team can appear in any number of games. Where every (season, team) is counted to
-be short, row windows over its games do. Otherwise no window runs over game rows:
-games are first summed per (season, team, day), and only the last few games of a
-day are kept individually; both steps combine on the map side. What is left per
+A team can appear in any number of games, so no window runs over all game rows of a
+team. Games are summed per (season, team, day), and only the last few games of a
+day are kept one by one: first of each of `SALTS` parts of the day, then of the
+day; all of these steps combine or limit on the map side. What is left per
 (season, team) is bounded by the calendar, and windows run over that.
 """
 
@@ -13,22 +13,22 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from tallyboard.functions.geo import located
-from tallyboard.session import stage
 
-
-# A day is crowded for a team when it has this many times the games a window needs.
-CROWDED = 100
-# A key is short up to this many games: a sort that one task does in seconds.
-SHORT = 100_000
+# Parts that the games of one team and day are dealt to before its last ones are picked.
+SALTS = 64
 
 
 def lead(scenario: str | None) -> list[str]:
     return [scenario] if scenario else []
 
 
+def game_order() -> Column:
+    """Order of the games of one day: by id, those without one last, by their teams."""
+    return F.struct(F.col("gameId").isNull().alias("noId"), "gameId", "homeTeamName", "awayTeamName")
+
+
 def team_games(games: DataFrame, scenario: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Two rows per game, one for each side, from one scan of the log."""
     home = F.col("side") == "home"
@@ -47,6 +47,8 @@ def team_games(games: DataFrame, scenario: str | None = None, carry: Sequence[st
         either("awayTeamName", "homeTeamName").alias("opponentName"),
         either("homeTeamScore", "awayTeamScore").alias("teamScore"),
         either("awayTeamScore", "homeTeamScore").alias("opponentScore"),
+        "homeTeamName",
+        "awayTeamName",
         "homeTeamScore",
         "awayTeamScore",
         "lastPeriod",
@@ -62,58 +64,43 @@ def prior_days(
     places: int | None = None,
     places_from: DataFrame | None = None,
     rest: bool = False,
-    order: str = "gameId",
-    short: bool | None = None,
 ) -> DataFrame:
     """One row per key and day with totals over strictly earlier days.
 
     For each measure m: `m_toDate` is the sum over all earlier games and `m_<n>`,
     for n in `spans`, the sum over the last n of them. Games of one day are
-    ordered by `order`, which must be unique within the key. `places` adds
-    `priorVenues`, the coordinates of the last so many venues, looked up in
-    `places_from`. `rest` adds the first game of the day and the day before it
-    on which the team played.
-
-    If no key has more than `SHORT` games, the log is shuffled once and windows
-    run over its rows. `short=None` counts the games per key to know; True and
-    False skip the count.
+    ordered by `game_order`. `places` adds `priorVenues`, the coordinates of the last
+    so many venues, looked up in `places_from`. `rest` adds the first game of the
+    day and the day before it on which the team played.
     """
     rows = rows.where(F.col("gameDate").isNotNull())
     named = [measures[m].cast("double").alias(m) for m in measures]
-    base = rows.select(*keys, "gameDate", order, *(["venue"] if places else []), *named)
+    base = rows.select(*keys, "gameDate", game_order().alias("_order"), *(["venue"] if places else []), *named)
     if places:
         # Null, hence not collected, when a coordinate is missing.
         spot = located(F.col("venue_lat"), F.col("venue_long"))
         places_from = places_from.select("venue", spot.alias("_spot"))
-    if short is None:
-        # Combines to one row per key and task before the shuffle.
-        longest = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        short = (longest or 0) <= SHORT
-    if short:
-        return _short_days(base, keys, list(measures), spans, places, places_from, rest, order)
     days = base.groupBy(*keys, "gameDate").agg(
         F.count(F.lit(1)).alias("_games"),
-        F.min(order).alias("_first"),
-        F.max(order).alias("_last"),
+        *([F.min("_order").alias("_first")] if rest else []),
         *[F.sum(F.coalesce(F.col(m), F.lit(0.0))).alias(f"_day_{m}") for m in measures],
     )
     depth = max([n + 1 for n in spans] + [places or 0])
     if depth:
-        # Staged: it is one side of the timeline, and it tells which days are crowded.
-        days = stage(days, "day_totals")
-        late = _late_games(base, days, keys, depth, order)
-        # The limit is applied on the map side too (for depth up to
-        # spark.sql.optimizer.windowGroupLimitThreshold). The date leads the sort
-        # key, since it compares as a number.
-        newest_first = Window.partitionBy("gameDate", *keys).orderBy(F.desc(order))
-        newer = newest_first.rowsBetween(Window.unboundedPreceding, -1)
-        last = late.withColumn("_back", F.row_number().over(newest_first)).where(F.col("_back") <= depth)
+        def newest_first(*part: str):
+            return Window.partitionBy("gameDate", *keys, *part).orderBy(F.desc("_order"))
+
+        part = F.pmod(F.xxhash64("_order"), F.lit(SALTS)).alias("_part")
+        late = base.select("*", part).withColumn("_back", F.row_number().over(newest_first("_part")))
+        last = late.where(F.col("_back") <= depth).drop("_part")
+        last = last.withColumn("_back", F.row_number().over(newest_first())).where(F.col("_back") <= depth)
+        newer = newest_first().rowsBetween(Window.unboundedPreceding, -1)
         if spans:
             last = last.withColumns({f"_newer_{m}": F.sum(F.coalesce(F.col(m), F.lit(0.0))).over(newer) for m in measures})
         last = last.drop(*measures)
         if places:
             last = last.join(places_from, "venue", "left")
-        timeline = days.drop("_last").unionByName(last.drop(order), allowMissingColumns=True)
+        timeline = days.unionByName(last.drop("_order"), allowMissingColumns=True)
     else:
         timeline = days.withColumn("_back", F.lit(None).cast("int"))
 
@@ -176,84 +163,5 @@ def prior_days(
         *[f"{m}_toDate" for m in measures],
         *[f"{m}_{n}" for m in measures for n in spans],
         *(["priorVenues"] if places else []),
-        *([F.col("_first").alias("firstGameId"), "previousDate"] if rest else []),
-    )
-
-
-def _late_games(
-    base: DataFrame, days: DataFrame, keys: Sequence[str], depth: int, order: str
-) -> DataFrame:
-    """The games of `base` without those that cannot be among the last `depth` of their day.
-
-    A map-side limit does not help when every task sees more games of a day than
-    it may keep. For such crowded days the games are counted in tiers by their
-    distance from the day's last one, each tier twice as wide as the one before.
-    The tiers that hold the last `depth` games are kept whole, so nothing that
-    counts is lost, however the order values are spread.
-    """
-    if not isinstance(base.schema[order].dataType, NumericType):
-        return base
-    busiest = days.agg(F.max("_games")).first()[0]
-    if busiest is None or busiest <= CROWDED * depth:
-        return base
-    on = [*keys, "gameDate"]
-    span = F.col("_last") - F.col("_first") + 1
-    crowded = days.where(F.col("_games") > CROWDED * depth).select(
-        *on, "_last", (span * depth / F.col("_games")).alias("_width")
-    )
-    tier = F.floor(F.log2((F.col("_last") - F.col(order)) / F.col("_width") + 1)).cast("int")
-    tiers = base.select(*on, order).join(crowded, on).groupBy(*on, tier.alias("_tier")).agg(F.count(F.lit(1)).alias("_n"))
-    outward = Window.partitionBy(*on).orderBy("_tier").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    enough = (
-        tiers.withColumn("_reached", F.sum("_n").over(outward))
-        .where(F.col("_reached") >= depth)
-        .groupBy(*on)
-        .agg(F.min("_tier").alias("_enough"))
-    )
-    limits = stage(crowded.join(enough, on), "day_limits")
-    return (
-        base.join(limits, on, "left")
-        .where(F.col("_enough").isNull() | (tier <= F.col("_enough")))
-        .select(*base.columns)
-    )
-
-
-def _short_days(
-    base: DataFrame,
-    keys: Sequence[str],
-    measures: Sequence[str],
-    spans: Sequence[int],
-    places: int | None,
-    places_from: DataFrame | None,
-    rest: bool,
-    order: str,
-) -> DataFrame:
-    """`prior_days` for keys of few games, from windows over the games themselves.
-
-    Seen from the first game of a day, the rows before it are just the games of
-    earlier days; the other games of the day are dropped.
-    """
-    by_game = Window.partitionBy(*keys).orderBy("gameDate", order)
-    before = by_game.rowsBetween(Window.unboundedPreceding, -1)
-    if places:
-        base = base.join(places_from, "venue", "left")
-    new = {f"{m}_toDate": F.coalesce(F.sum(F.coalesce(m, F.lit(0.0))).over(before), F.lit(0.0)) for m in measures}
-    new["previousDate"] = F.lag("gameDate").over(by_game)
-    if places:
-        new["priorVenues"] = F.collect_list("_spot").over(by_game.rowsBetween(-places, -1))
-    timeline = base.withColumns(new).withColumns(
-        {
-            f"{m}_{n}": F.col(f"{m}_toDate") - F.coalesce(F.lag(f"{m}_toDate", n).over(by_game), F.lit(0.0))
-            for m in measures
-            for n in spans
-        }
-    )
-    opening = F.col("previousDate").isNull() | (F.col("previousDate") < F.col("gameDate"))
-    return timeline.where(opening).select(
-        *keys,
-        "gameDate",
-        *[f"{m}_toDate" for m in measures],
-        *[f"{m}_{n}" for m in measures for n in spans],
-        *(["priorVenues"] if places else []),
-        *([F.col(order).alias("firstGameId"), "previousDate"] if rest else []),
+        *([F.col("_first").alias("firstGame"), "previousDate"] if rest else []),
     )

@@ -476,7 +476,7 @@ def _(spark, sf):
 
 
 def _fresh_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tallyboard/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 @query("read_games")

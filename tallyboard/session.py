@@ -1,7 +1,8 @@
-"""Session settings and the staging of small tables on shared storage."""
+"""Session settings and the staging of tables on shared storage."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,37 +27,35 @@ def build_session(app: str = "tallyboard", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-# Folders of sessions without a checkpoint folder, by application.
-_own_dirs: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for staged tables: the cluster's `spark.checkpoint.dir`.
+    """This application's folder for staged tables, under the cluster's `spark.checkpoint.dir`.
 
-    Only a session without one (a test on one machine) gets a temporary folder
-    of its own.
+    Only a session on one machine, as in tests, may do without that setting; it
+    uses the machine's temporary folder. On a cluster its executors would each
+    write to a disk of their own, so that is refused.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        app = context.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = tempfile.mkdtemp(prefix="tallyboard-")
-        folder = _own_dirs[app]
-    return folder.rstrip("/")
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.gettempdir()
+    return f"{folder.rstrip('/')}/tallyboard/{context.applicationId}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove all that this application staged; call it once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write a small derived table to shared storage and read it back.
-
-    Used for tables with one row per team and day (or per pair and day) that
-    are joined to the full game log more than once. After the write the planner
-    knows the true size, so it broadcasts the table when it is under
-    `spark.sql.autoBroadcastJoinThreshold` and the log is not shuffled at all;
-    above the threshold it plans an ordinary shuffled join. A lost executor
-    costs a re-read, not a recomputation.
+    """Write a derived table to shared storage and read it back.
+
+    For tables that are read more than once: a lost executor costs a re-read, not
+    a recomputation, and the planner knows the true size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyboard/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -18,12 +18,24 @@ REGULAR, PLAYOFF = "regularseason", "playoff"
 def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
     """One scan of all files under `path` with an explicit schema.
 
-    CSV files carry a header; a value that does not fit its type becomes null.
+    CSV files carry a header, and columns are found by name, wherever they stand;
+    a value that does not fit its type becomes null, as does a column that is
+    missing.
     """
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("mode", "PERMISSIVE")
-    return reader.format(fmt).load(path)
+    if fmt != "csv":
+        return spark.read.schema(schema).format(fmt).load(path)
+    raw = spark.read.option("header", True).csv(path)
+    return raw.select(
+        *[
+            (F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema.fields
+        ]
+    )
+
+
+def _documents(spark: SparkSession, path: str, schema: StructType, multi_line: bool) -> DataFrame:
+    """Landed JSON: one value per line, or with `multi_line` one value per file."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def read_games(
@@ -38,9 +50,7 @@ def read_venues(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_odds(spark: SparkSession, path: str) -> DataFrame:
-    """The five odds columns of a headed CSV file, found by name."""
-    raw = spark.read.option("header", True).csv(path)
-    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in ODDS.fields])
+    return read_table(spark, path, ODDS, "csv")
 
 
 def flatten_schedule(raw: DataFrame) -> DataFrame:
@@ -76,9 +86,9 @@ def flatten_schedule(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_schedule(spark: SparkSession, path: str) -> DataFrame:
-    """Landed schedule documents, one JSON value per file or line, as a game log."""
-    return flatten_schedule(spark.read.schema(RAW_SCHEDULE).option("multiLine", True).json(path))
+def read_schedule(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Landed schedule documents as a game log."""
+    return flatten_schedule(_documents(spark, path, RAW_SCHEDULE, multi_line))
 
 
 def flatten_standings(raw: DataFrame) -> DataFrame:
@@ -96,12 +106,12 @@ def flatten_standings(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_standings(spark: SparkSession, path: str) -> DataFrame:
-    return flatten_standings(spark.read.schema(RAW_STANDINGS).option("multiLine", True).json(path))
+def read_standings(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return flatten_standings(_documents(spark, path, RAW_STANDINGS, multi_line))
 
 
-def read_teams(spark: SparkSession, path: str) -> DataFrame:
-    return team_dim(spark.read.schema(RAW_TEAMS).option("multiLine", True).json(path))
+def read_teams(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return team_dim(_documents(spark, path, RAW_TEAMS, multi_line))
 
 
 def read_snapshots(snapshots: DataFrame, since: str, until: str) -> DataFrame:
@@ -109,18 +119,36 @@ def read_snapshots(snapshots: DataFrame, since: str, until: str) -> DataFrame:
 
     `snapshots` is partitioned by `predDate` and `kind`, so the range prunes
     folders. Per date the regular-season run is taken, and the playoff run only
-    where there is no other. The choice is one row per date, not a window over
-    a whole date.
+    where there is no other. Which days have a regular run is one short array, a
+    place per day of the range, so the forecasts themselves are only filtered.
     """
-    ranged = snapshots.where(
-        (F.col("predDate") >= F.lit(since).cast("date")) & (F.col("predDate") < F.lit(until).cast("date"))
-    )
-    preference = F.when(F.col("kind") == REGULAR, 0).otherwise(1)
-    chosen = ranged.groupBy("predDate").agg(F.min_by("kind", preference).alias("kind"))
-    return ranged.join(chosen, ["predDate", "kind"], "left_semi")
+    first, end = (F.lit(d).cast("date") for d in (since, until))
+    ranged = snapshots.where((F.col("predDate") >= first) & (F.col("predDate") < end))
+    days = ranged.where(F.col("kind") == REGULAR).agg(F.collect_set("predDate").alias("days"))
+    span = F.sequence(F.lit(0), F.greatest(F.datediff(end, first), F.lit(0)))
+    regular = days.select(F.transform(span, lambda i: F.array_contains("days", F.date_add(first, i)))).scalar()
+    has_regular = F.get(regular, F.datediff("predDate", first))
+    return ranged.where((F.col("kind") == REGULAR) | ((F.col("kind") != REGULAR) & ~has_regular))
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
-    """Rows of the run with the most scenarios per date; `n` is a run's scenario count."""
-    largest = runs.groupBy("predDate").agg(F.max("n").alias("n"))
-    return runs.join(largest, ["predDate", "n"], "left_semi")
+    """Rows of the run with the most scenarios per date; `n` is a run's scenario count.
+
+    The largest count of each day goes to an array with a place per calendar day,
+    so the runs are only filtered.
+    """
+    largest = runs.where(F.col("predDate").isNotNull()).groupBy("predDate").agg(F.max("n").alias("n"))
+    packed = largest.agg(
+        F.min("predDate").alias("first"),
+        F.max("predDate").alias("last"),
+        F.map_from_entries(F.collect_list(F.struct("predDate", "n"))).alias("most"),
+    )
+    place = F.sequence(F.lit(0), F.datediff("last", "first"))
+    table = packed.select(
+        F.struct(
+            "first",
+            F.transform(place, lambda i: F.try_element_at("most", F.date_add("first", i))).alias("most"),
+        )
+    ).scalar()
+    most = F.get(table.getField("most"), F.datediff("predDate", table.getField("first")))
+    return runs.where(F.col("n") == most)

@@ -97,18 +97,15 @@ def test_feature_set_equals_a_scan_per_game(spark, unique_days):
     games, rows = random_log(spark, unique_days=unique_days)
     coordinates = {f"V{i}": (10.0 * i, -20.0 * i) for i in range(4)}
     want = brute(rows, coordinates)
-    for options in ({}, {"short": True}, {"short": False}):
-        got = by_id(history.feature_set(games, places(spark), **options))
-        assert len(got) == len(rows)
-        for gid, feats in want.items():
-            for name, value in feats.items():
-                assert same(got[gid][name], value), (gid, name, got[gid][name], value)
+    got = by_id(history.feature_set(games, places(spark)))
+    assert len(got) == len(rows)
+    for gid, feats in want.items():
+        for name, value in feats.items():
+            assert same(got[gid][name], value), (gid, name, got[gid][name], value)
 
 
-@pytest.mark.parametrize("limit", [10, 100_000])
-def test_one_hot_team_and_day(spark, monkeypatch, limit):
+def test_one_hot_team_and_day(spark):
     """A single team-day far above the window length: only its last games may count."""
-    monkeypatch.setattr(timeline, "SHORT", limit)
     rows = [game(i, "2024-10-01", "A", f"B{i % 9}", 2, 1) for i in range(500)]
     rows += [game(1000, "2024-10-01", "A", "B0", 0, 4), game(1001, "2024-10-02", "A", "B1", 1, 1)]
     out = by_id(history.prior_results(log(spark, *rows), 3))[1001]
@@ -119,24 +116,37 @@ def test_one_hot_team_and_day(spark, monkeypatch, limit):
     assert (capped["homeTeamPrevWins_110"], capped["homeTeamPrevLosses_110"]) == (109, 1)
 
 
-def test_crowded_days_give_the_same(spark, monkeypatch):
-    """Counting in tiers first keeps exactly the games a window needs."""
+def test_crowded_days_with_scattered_ids(spark):
+    """Of crowded days exactly the last games count, however ids lie, games without one after the others."""
     rng = random.Random(3)
     rows = []
     for i in range(3000):
-        # Ids far apart, close together, and all at one end.
+        # Ids far apart, close together, all at one end, and missing.
         gid = rng.choice([i, 10_000 + 7 * i, 10**12 + i**3])
         day = f"2024-10-{1 + rng.randrange(3):02d}"
-        rows.append(game(gid * 10_000 + i, day, "A", f"B{i % 4}", rng.randrange(4), rng.randrange(4)))
-    rows += [game(5, "2024-10-04", "A", "B0", 1, 0), game(6, "2024-10-06", "C", "A", 1, 0)]
-    games = log(spark, *rows)
-    late = "gameDate >= '2024-10-02'"
-    short = history.prior_results(games, 7).where(late)
-    plain = history.prior_results(games, 7, short=False).where(late)
-    monkeypatch.setattr(timeline, "CROWDED", 1)
-    tiered = history.prior_results(games, 7, short=False).where(late)
-    for other in (plain, tiered):
-        assert short.exceptAll(other).count() == 0 and short.count() == other.count()
+        gid = None if i % 50 == 7 else gid * 10_000 + i
+        rows.append(game(gid, day, "A", f"B{i:04d}", rng.randrange(4), rng.randrange(4)))
+    rows += [game(5, "2024-10-04", "A", "C", 1, 0)]
+    past = sorted(rows[:-1], key=lambda r: (r[3], r[0] is None, r[0] or 0, r[7]))
+    for n in (7, 20, 110):
+        out = by_id(history.prior_results(log(spark, *rows), n).where("gameId = 5"))[5]
+        wins = sum(r[8] > r[9] for r in past[-n:])
+        assert out[f"homeTeamPrevWins_{n}"] == wins
+
+
+def test_games_without_id(spark):
+    """A day's games without an id come after the others; a missing id alone hides nothing."""
+    games = log(
+        spark,
+        game(1, "2025-04-03", "A", "B", 1, 0),
+        game(None, "2025-04-05", "A", "C"),
+        game(9, "2025-04-08", "A", "D", 2, 1),
+        game(None, "2025-04-08", "E", "A"),
+    )
+    rows = {(r.gameDate.day, r.homeTeamName): r for r in history.rest_days(games).collect()}
+    assert rows[5, "A"].homeTeamDaysSinceLastGame == 2
+    assert rows[8, "A"].homeTeamDaysSinceLastGame == 3
+    assert rows[8, "E"].awayTeamDaysSinceLastGame == 0
 
 
 def test_unplayed_game_takes_a_place(spark):
@@ -230,7 +240,7 @@ def test_hot_days_are_limited_before_the_shuffle(spark, tmp_path):
         ["seasonName", "teamName"],
         {"wins": F.col("teamScore") > F.col("opponentScore")},
         spans=(3,),
-        short=False,
     )
     plan = days._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    # In the parts of a day, then in the day; each before and after its shuffle.
+    assert plan.count("WindowGroupLimit") == 4

@@ -7,7 +7,7 @@ import pytest
 from check_oracle import TABLES, compare, connect
 from pyspark.sql import functions as F
 
-from tallyboard.operators import evaluate, history, standings, timeline
+from tallyboard.operators import evaluate, history, standings
 from tallyboard.plans import fixtures as fx
 from tallyboard.session import stage
 from tallyboard.sources import readers, writers
@@ -42,24 +42,37 @@ def test_lopsided_log(spark, lopsided, name):
     assert ok, note
 
 
-@pytest.mark.parametrize("crowded", [1, 100])
-@pytest.mark.parametrize("name", ["feature_set", "prior_results", "prior_results_season", "prior_goals_team"])
-def test_lopsided_log_as_if_long(spark, lopsided, monkeypatch, name, crowded):
-    """The same where no team counts as short, with and without thinning crowded days."""
-    monkeypatch.setattr(timeline, "SHORT", 0)
-    monkeypatch.setattr(timeline, "CROWDED", crowded)
-    ok, note = compare(spark, connect(lopsided), lopsided, name)
-    assert ok, note
-
-
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_features_join_without_shuffling_the_log(spark):
-    log = stage(fx.games(spark, SF), "log")
-    plan = plan_of(history.feature_set(log, fx.venues(spark, SF)))
-    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+def test_nothing_runs_before_an_action(spark):
+    log, venues, teams = fx.games(spark, SF), fx.venues(spark, SF), fx.teams(spark, SF)
+    context = spark.sparkContext
+    context.setJobGroup("lazy", "lazy")
+    try:
+        history.feature_set(log, venues)
+        standings.standings(log, teams)
+        history.series_score(log)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert not context.statusTracker().getJobIdsForGroup("lazy")
+
+
+def test_snapshots_are_filtered_in_place(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    games = fx.games(spark, SF).select("gameId", "homeTeamScore")
+    writers.write_snapshot(games, path, "2001-08-01")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(readers.read_snapshots(spark.read.parquet(path), "2001-08-01", "2001-08-03"))
+        runs = spark.read.parquet(path).withColumn("n", F.col("gameId") % 3)
+        latest = plan_of(readers.latest_run(runs))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Exchanges are below subqueries only, of one row per day.
+    for text in (plan, latest):
+        assert "Join" not in text and "Exchange" not in text.split("Subquery")[0]
 
 
 def test_large_day_tables_are_not_broadcast(spark):
