@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -100,7 +100,7 @@ def _powers(base: int, bits: int) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Polynomial hash of data[start:end], equal for equal bytes wherever they stand, mixed."""
-    bits = max(21, int(len(data)).bit_length())
+    bits = max(20, int(len(data)).bit_length())
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, bits)[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * _powers(_BASE_INVERSE, bits)[starts])
