@@ -106,7 +106,8 @@ def _looked_up(batches, table, sizes):
         for lo, hi, data, offsets in chunks(batch.column(batch.num_columns - 1)):
             words = Words(data, offsets, ALNUM)
             hashes = words.hashes()
-            heads, owners, tokens, lengths = [], [], [], []
+            none = np.zeros(0, np.int64)
+            heads, owners, tokens, lengths = [none], [none], [none.view(np.uint64)], [none]
             for k in sizes:
                 head, owner = shingle_heads(words.first, k)
                 token = shingle_hashes(hashes, k)[head] if len(head) else np.zeros(0, np.uint64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyboard.llm import chat, decontam, jaccard, lines, passages, pieces, pii, subword, tokens, url_filter
+from tallyboard.llm import chat, decontam, jaccard, lines, oracle, passages, pieces, pii, subword, tokens, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,4 +65,4 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = oracle.build()

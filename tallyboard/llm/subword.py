@@ -81,6 +81,8 @@ def sparse_features(docs: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             kept, shares, lengths = [], [], []
             for _, _, data, offsets in chunks(batch.column(1)):
                 kinds = list(feature_buckets(data, offsets))
