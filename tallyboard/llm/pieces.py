@@ -29,8 +29,8 @@ from tallyboard.llm import ship
 
 MARK = "▁"
 #: Words and pairs that a worker remembers; beyond that it starts anew, which changes no result.
-KEPT_WORDS = 300_000
-KEPT_PAIRS = 1_000_000
+KEPT_WORDS = 200_000
+KEPT_PAIRS = 300_000
 _SLICE = 2 << 20
 
 
@@ -73,14 +73,14 @@ class Pieces:
         self.controls = frozenset(i for i in ids if model.is_control(i))
         # Pieces that come out of their own text; the others end no prefix.
         alone = [p for p in self.ids if self._merge(p) == [p]]
-        self.pieces = frozenset(alone)
+        self.pieces = {p: p for p in alone}
         endings: dict[str, set[int]] = {}
         for p in alone:
             if len(p) > 1:
                 endings.setdefault(p[-2:], set()).add(len(p))
         self.endings = {k: sorted(v, reverse=True) for k, v in endings.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
 
     def _merge(self, text: str) -> list[str]:
         """The pieces of a short text: the best-scored neighbours merge first, the leftmost of equals."""
@@ -133,16 +133,17 @@ class Pieces:
                         if n > end:
                             continue
                         piece = word[end - n : end]
-                        if piece in pieces:
+                        own = pieces.get(piece)
+                        if own is not None:
                             if n == end:
-                                found = piece
+                                found = own
                                 break
-                            pair = (last[end - n], piece)
+                            pair = (last[end - n], own)
                             ok = pairs.get(pair)
                             if ok is None:
                                 ok = fits(pair)
                             if ok:
-                                found = piece
+                                found = own
                                 break
                 last.append(found)
             previous = word
@@ -152,15 +153,15 @@ class Pieces:
                 at -= len(last[at])
             known[word] = self._ids(backwards)
 
-    def _ids(self, backwards: list[str]) -> tuple[int, ...]:
-        ids, out = self.ids, []
+    def _ids(self, backwards: list[str]) -> bytes:
+        ids, out = self.ids, array("i")
         for p in reversed(backwards):
             i = ids.get(p)
             if i is None:
                 out.extend(self.byte_ids[b] for b in p.encode())
             else:
                 out.append(i)
-        return tuple(out)
+        return out.tobytes()
 
     _find = staticmethod(re.compile(f"{MARK}+[^{MARK}]*").findall)
 
@@ -199,11 +200,14 @@ class Pieces:
         out = []
         for words in cut:
             ids = array("i")
-            for w in words:
-                ids.extend(known[w])
+            ids.frombytes(b"".join(map(known.__getitem__, words)))
             out.append(ids)
         return out
 
+    def forget(self) -> None:
+        """Give the words' memory back; a worker may wait for long before its next task."""
+        self.known = {}
+
     def decode(self, ids) -> str:
         spelled = self.spelled
         if self.controls.isdisjoint(ids):
@@ -267,11 +271,13 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", into: s
     place = docs.columns.index(text)
 
     def run(batches):
+        model = pieces(path)
         for batch in batches:
             for begun, texts in _slices(batch.column(place).cast(pa.large_string())):
                 part = batch.slice(begun, len(texts))
                 names = [*part.schema.names, into]
-                yield pa.RecordBatch.from_arrays([*part.columns, _ids_array(pieces(path).encode(texts))], names)
+                yield pa.RecordBatch.from_arrays([*part.columns, _ids_array(model.encode(texts))], names)
+        model.forget()
 
     kind = f"{docs._jdf.schema().toDDL()}, `{into}` array<int>"
     return docs.mapInArrow(run, kind)
@@ -316,6 +322,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                     ],
                     ["doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"],
                 )
+        model.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyboard.llm import ship
+from tallyboard.llm.sample import bounded_sample
 
 KINDS = ("email", "ip", "card", "phone")
 _LABELS = len(KINDS) + 1
@@ -296,7 +297,7 @@ def train(docs: DataFrame, sample: int = 1000):
                 [pa.array([r[i] for r in rows], kinds) for i in range(3)], ["features", "edges", "labels"]
             )
 
-    some = texts.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample).select("text")
+    some = bounded_sample(texts, F.xxhash64("text"), sample)
     found = some.mapInArrow(describe, "features array<long>, edges array<long>, labels array<long>").toArrow().to_pylist()
     graphs = [(r["features"], _rows(r["edges"])) for r in found]
     labels = np.array([x for r in found for x in r["labels"]], dtype=np.int64)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyboard.llm import ship
+from tallyboard.llm.sample import bounded_sample
 from tallyboard.llm.words import SPACED, Words, chunks, mix
 
 LOG_BUCKETS = 16
@@ -170,12 +171,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2000):
     ship(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("_label"))
     known = known.where(~held_out(F.col("doc_id")))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = bounded_sample(known, F.xxhash64("doc_id"), sample)
     known = known.withColumnRenamed("doc_id", "_doc")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     taught = texts.join(F.broadcast(known), texts["doc_id"] == known["_doc"]).select("_label", "text", "_doc")
     # Several rows may share a doc_id, so the bound is set once more.
-    taught = taught.orderBy(F.xxhash64("_doc"), "_doc", F.xxhash64("text")).limit(sample)
+    taught = taught.orderBy(F.xxhash64("_doc", "text"), "_label").limit(sample)
     found = sparse_features(taught.select("_label", "text")).toArrow()
     rows = [
         (label, np.asarray(b.values), np.asarray(s.values))
