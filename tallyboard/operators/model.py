@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType
 
 from tallyboard.functions import scoring
 from tallyboard.operators.evaluate import regression_metrics
+from tallyboard.session import stage
 
 TARGETS = ("homeTeamScore", "awayTeamScore")
-MAX_LABELS = 100_000
 NOT_FEATURES = (*TARGETS, "lastPeriod")
 
 
@@ -37,30 +37,58 @@ def _indexer(columns: Sequence[str], suffix: str) -> StringIndexer:
     )
 
 
-def _require_bounded(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> None:
-    """Refuse columns whose labels are too many to keep in one place."""
-    limit = limit or MAX_LABELS
-    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+def _require_bounded(df: DataFrame, columns: Sequence[str], limit: int) -> None:
+    """Refuse columns whose labels are too many for a fitted pipeline, which holds them in one place."""
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
     wide = [c for c in columns if counts[c] > limit]
     if wide:
         raise ValueError(f"more than {limit} distinct labels in {wide}; drop these columns first")
 
 
-def encode_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Ordinal codes of dimension columns, by sorted value, nulls last.
+def _codes(df: DataFrame, column: str) -> DataFrame:
+    """label, code: the distinct values of a column numbered from 0 in order.
 
-    The fit keeps the distinct labels, so it is meant for columns of a bounded
-    vocabulary (teams, venues, seasons, zones); others are refused.
+    Labels are range-partitioned, numbered within each part, and moved on by the
+    sizes of the parts before it, so none of it is in one place.
     """
-    _require_bounded(df, columns)
-    return _indexer(columns, "Code").fit(df).transform(df)
+    labels = df.select(F.col(column).alias("label")).where(F.col("label").isNotNull()).distinct()
+    # Written out, so that a label's part is settled.
+    labels = stage(labels.repartitionByRange("label").withColumn("_part", F.spark_partition_id()), "labels")
+    parts = labels.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("label")) - 1
+    return labels.withColumn("_place", within).join(offsets, "_part").select(
+        "label", (F.col("_place") + F.col("_offset")).alias("code")
+    )
+
+
+def encode_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Ordinal codes of columns by sorted value, as `<column>Code`; nulls come last."""
+    out = df
+    for column in columns:
+        codes = _codes(df, column)
+        missing = codes.agg(F.count(F.lit(1)).alias("n")).scalar()
+        codes = codes.select(F.col("label").alias("_label"), F.col("code").alias("_code"))
+        out = out.join(codes, out[column] == F.col("_label"), "left").withColumn(
+            f"{column}Code", F.coalesce("_code", missing).cast("double")
+        ).drop("_label", "_code")
+    return out
 
 
 def forecaster(
-    df: DataFrame, n_trees: int = 100, max_depth: int = 10, seed: int | None = 42
+    df: DataFrame,
+    n_trees: int = 100,
+    max_depth: int = 10,
+    seed: int | None = 42,
+    feature_subset: str = "all",
+    bootstrap: bool = True,
 ) -> Pipeline:
     """Unfitted pipeline from a feature set to one predicted score per side.
 
+    Every split looks at all features by default. `max_depth` goes up to 30, the
+    library's limit; a forest of depth 0 without bootstrap predicts the mean.
+
     Dates become day numbers. A missing feature gets the value -1, below every
     real value of these features, so a tree can send it its own way.
     """
@@ -86,6 +114,8 @@ def forecaster(
             predictionCol=f"{target}_predicted",
             numTrees=n_trees,
             maxDepth=max_depth,
+            featureSubsetStrategy=feature_subset,
+            bootstrap=bootstrap,
         )
         stages.append(forest if seed is None else forest.setSeed(seed))
     return Pipeline(stages=stages)
@@ -95,13 +125,16 @@ def _scored(df: DataFrame) -> DataFrame:
     return df.where(F.col(TARGETS[0]).isNotNull() & F.col(TARGETS[1]).isNotNull())
 
 
-def train_scores(
-    features: DataFrame, n_trees: int = 100, max_depth: int = 10, seed: int | None = 42
-) -> PipelineModel:
-    """Fit the forecaster on the played games. Save it with `model.write().save(path)`."""
+def train_scores(features: DataFrame, max_labels: int = 100_000, **forest) -> PipelineModel:
+    """Fit the forecaster on the played games. Save it with `model.write().save(path)`.
+
+    `forest` goes to `forecaster`. The fitted pipeline holds the distinct labels of
+    the text columns; a column with more than `max_labels` is refused, and can be
+    encoded by `encode_columns` first.
+    """
     texts = text_columns(features.select(*feature_columns(features)))
-    _require_bounded(features, texts)
-    return forecaster(features, n_trees, max_depth, seed).fit(_scored(features))
+    _require_bounded(features, texts, max_labels)
+    return forecaster(features, **forest).fit(_scored(features))
 
 
 def predict(model: PipelineModel, features: DataFrame) -> DataFrame:
@@ -129,12 +162,15 @@ def score_games(features: DataFrame, model: PipelineModel) -> DataFrame:
     return features.where(~is_open).unionByName(forecast)
 
 
-def holdout_metrics(
-    features: DataFrame, season: str, n_trees: int = 100, max_depth: int = 10, seed: int | None = 42
-) -> DataFrame:
-    """Error, R² and outcome accuracy on one season of a model fitted on the others."""
-    model = train_scores(features.where(F.col("seasonName") != season), n_trees, max_depth, seed)
-    unseen = _scored(features.where(F.col("seasonName") == season))
-    return regression_metrics(
-        predict(model, unseen), targets=[(t, f"{t}_predicted") for t in TARGETS]
-    )
+def holdout_metrics(features: DataFrame, season: str, runs: int = 1, seed: int | None = 42, **forest) -> DataFrame:
+    """Error, R² and outcome accuracy on one season of models fitted on the others.
+
+    The plain mean over `runs` forests, whose seeds count up from `seed`.
+    """
+    known, unseen = features.where(F.col("seasonName") != season), _scored(features.where(F.col("seasonName") == season))
+    every = None
+    for i in range(runs):
+        model = train_scores(known, seed=None if seed is None else seed + i, **forest)
+        one = regression_metrics(predict(model, unseen), targets=[(t, f"{t}_predicted") for t in TARGETS])
+        every = one if every is None else every.union(one)
+    return every.agg(*[F.avg(c).cast(t).alias(c) for c, t in every.dtypes])

@@ -813,4 +813,41 @@ UNION ALL SELECT gameId, homeTeamScore, '2001-08-02', 'regularseason' FROM games
 FROM (SELECT gameId, CAST(gameId % 50 AS DOUBLE) / 10 AS h, CAST(gameId * 7 % 50 AS DOUBLE) / 10 AS a FROM games)""",
         "games",
     )
+
+    # Forecasts by the mean of the played games.
+    played = "homeTeamScore IS NOT NULL AND awayTeamScore IS NOT NULL"
+    means = f"(SELECT avg(homeTeamScore) AS h, avg(awayTeamScore) AS a FROM games WHERE {played})"
+    add(
+        "train_scores_mean",
+        f"""SELECT gameId, round(h, 6) AS homeTeamScore_predicted, round(a, 6) AS awayTeamScore_predicted
+FROM games CROSS JOIN {means}""",
+        "games",
+    )
+    add(
+        "score_games_mean",
+        f"""SELECT gameId,
+  round(CASE WHEN o THEN CASE WHEN h = a THEN h + 0.5 ELSE h END ELSE homeTeamScore END, 6) AS homeTeamScore,
+  round(CASE WHEN o THEN a ELSE awayTeamScore END, 6) AS awayTeamScore,
+  CASE WHEN NOT o THEN lastPeriod WHEN abs(h - a) < 0.25 THEN 'OT' ELSE 'REG' END AS lastPeriod
+FROM (SELECT *, homeTeamScore IS NULL OR lastPeriod IS NULL AS o FROM games) CROSS JOIN {means}""",
+        "games",
+    )
+    add(
+        "holdout_metrics_mean",
+        f"""SELECT count(*) AS games, round((avg((homeTeamScore - h) ** 2) + avg((awayTeamScore - a) ** 2)) / 2, 6) AS mse,
+  round((1 - avg((homeTeamScore - h) ** 2) / var_pop(homeTeamScore) + 1 - avg((awayTeamScore - a) ** 2) / var_pop(awayTeamScore)) / 2, 6) AS r2,
+  round(avg(CASE WHEN sign(homeTeamScore - awayTeamScore) = sign(h - a) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM games CROSS JOIN (SELECT avg(homeTeamScore) AS h, avg(awayTeamScore) AS a FROM games WHERE {played} AND seasonName <> '20002001')
+WHERE {played} AND seasonName = '20002001'""",
+        "games",
+    )
+
+    # Landed files read back.
+    add("read_teams", "SELECT teamName, conferenceName, divisionName FROM teams", "teams")
+    add("read_venues", "SELECT venue, venue_lat, venue_long FROM venues", "venues")
+    add(
+        "read_odds",
+        "SELECT gameId, CASE WHEN gameId % 7 = 0 THEN NULL ELSE homeTeamOdds END AS homeTeamOdds, awayTeamOdds FROM odds",
+        "odds",
+    )
     return sql

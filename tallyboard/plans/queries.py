@@ -723,3 +723,70 @@ def _(spark, sf):
 @query("holdout_metrics")
 def _(spark, sf):
     return model.holdout_metrics(_features(spark, sf), "20002001", n_trees=8, max_depth=4)
+
+
+# A forest of no depth predicts the mean, so the whole path has an exact answer.
+_MEAN = {"n_trees": 1, "max_depth": 0, "bootstrap": False}
+
+
+@query("train_scores_mean")
+def _(spark, sf):
+    features = _features(spark, sf)
+    out = model.predict(model.train_scores(features, **_MEAN), features).select(
+        "gameId", "homeTeamScore_predicted", "awayTeamScore_predicted"
+    )
+    return rounded(out, *out.columns[1:])
+
+
+@query("score_games_mean")
+def _(spark, sf):
+    features = _features(spark, sf)
+    out = model.score_games(features, model.train_scores(features, **_MEAN))
+    return rounded(out.select("gameId", "homeTeamScore", "awayTeamScore", "lastPeriod"), "homeTeamScore", "awayTeamScore")
+
+
+@query("holdout_metrics_mean")
+def _(spark, sf):
+    """The mean over two runs, which are alike."""
+    out = model.holdout_metrics(_features(spark, sf), "20002001", runs=2, **_MEAN)
+    return rounded(out, "mse", "r2", "accuracy")
+
+
+# --- landed files ---------------------------------------------------------
+
+
+def _landed(df: DataFrame, label: str, *columns: Column) -> str:
+    """One JSON document per row, several rows to a file."""
+    path = _fresh_folder(df.sparkSession, label)
+    df.select(F.to_json(F.struct(*columns)).alias("value")).coalesce(2).write.text(path)
+    return path
+
+
+@query("read_teams")
+def _(spark, sf):
+    path = _landed(
+        fx.teams(spark, sf),
+        "teams-json",
+        F.col("teamName").alias("name"),
+        F.struct(F.col("conferenceName").alias("name")).alias("conference"),
+        F.struct(F.col("divisionName").alias("name")).alias("division"),
+    )
+    return readers.read_teams(spark, path)
+
+
+@query("read_venues")
+def _(spark, sf):
+    """A headed file whose columns stand in another order."""
+    path = _fresh_folder(spark, "venues-csv")
+    fx.venues(spark, sf).select("venue_long", "venue", "venue_lat").write.option("header", True).csv(path)
+    return readers.read_venues(spark, path).select("venue", "venue_lat", "venue_long")
+
+
+@query("read_odds")
+def _(spark, sf):
+    """The same for odds, some of which are no numbers."""
+    path = _fresh_folder(spark, "odds-csv")
+    odds = fx.odds(spark, sf)
+    bad = F.when(F.col("gameId") % 7 == 0, F.lit("n/a")).otherwise(F.col("homeTeamOdds").cast("string"))
+    odds.select("awayTeamOdds", bad.alias("homeTeamOdds"), "awayTeamName", "gameId", "homeTeamName").write.option("header", True).csv(path)
+    return readers.read_odds(spark, path).select("gameId", "homeTeamOdds", "awayTeamOdds")

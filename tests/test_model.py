@@ -50,11 +50,32 @@ def test_feature_list(features):
     assert len(names) == len(features.columns) - 3
 
 
-def test_unbounded_text_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(model, "MAX_LABELS", 3)
-    df = spark.range(100).select(F.col("id").cast("string").alias("name"))
+def test_codes_of_very_many_labels(spark):
+    df = spark.range(150_000).select(F.when(F.col("id") % 10 != 3, F.col("id").cast("string")).alias("name"))
+    out = model.encode_columns(df, ["name"])
+    assert out.where("name IS NULL").select("nameCode").distinct().collect() == [(135_000.0,)]
+    named = out.where("name IS NOT NULL")
+    bounds = named.agg(F.min("nameCode"), F.max("nameCode"), F.count_distinct("nameCode")).first()
+    assert tuple(bounds) == (0.0, 134_999.0, 135_000)
+    rows = sorted(named.where("nameCode % 1000 = 0").collect(), key=lambda r: r.nameCode)
+    assert [r.name for r in rows] == sorted(r.name for r in rows)
+
+
+def test_fitting_refuses_more_labels_than_allowed(spark, features):
     with pytest.raises(ValueError):
-        model.encode_columns(df, ["name"])
+        model.train_scores(features, max_labels=3, **SMALL)
+
+
+def test_shares_of_several_seasons(spark):
+    rows = [(i, season, team, seed, 1) for i in range(2) for season in ("a", "b") for team, seed in (("X", "div_1"), ("Y", "missed"))]
+    table = spark.createDataFrame(rows, "iteration int, seasonName string, teamName string, playoffSeed string, roundsWon int")
+    whole = {r.teamName: r["div_1_%"] for r in outcomes.outcome_probabilities(table).collect()}
+    assert whole == {"X": 100.0, "Y": 0.0}
+    apart = outcomes.outcome_probabilities(table, by=["seasonName"]).collect()
+    assert {(r.seasonName, r.teamName, r["playoff_%"]) for r in apart} == {(s, t, p) for s in "ab" for t, p in (("X", 100.0), ("Y", 0.0))}
+    teams = spark.createDataFrame([("X",), ("Z",)], "teamName string")
+    known = {(r.seasonName, r.teamName): r.div_1 for r in outcomes.seed_probabilities(table, teams, ["seasonName"]).collect()}
+    assert known == {("a", "X"): 2, ("b", "X"): 2, ("a", "Z"): 0, ("b", "Z"): 0}
 
 
 def test_whole_run(spark):

@@ -2,6 +2,7 @@ import json
 from datetime import date, datetime
 
 from helpers import game, log
+import pytest
 from pyspark.sql import functions as F
 
 from tallyboard.functions import dates
@@ -191,3 +192,36 @@ def test_staged_tables_go_to_the_shared_folder(spark):
     staged = stage(spark.range(5), "probe")
     assert staged.count() == 5
     assert all(shared_dir(spark) in f for f in staged.inputFiles())
+
+
+def test_every_line_of_landed_files_is_read(spark, tmp_path):
+    team = '{"name": "T%d", "conference": {"name": "C"}, "division": {"name": "D"}}'
+    (tmp_path / "teams.json").write_text("\n".join(team % i for i in range(5)))
+    assert readers.read_teams(spark, str(tmp_path)).count() == 5
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "venues.csv").write_text("venue_lat,venue_long,venue\n10.5,20.5,Hall\nbad,1,Rink\n")
+    rows = {r.venue: (r.venue_lat, r.venue_long) for r in readers.read_venues(spark, str(tmp_path)).collect()}
+    assert rows == {"Hall": (10.5, 20.5), "Rink": (None, 1.0)}
+
+
+def test_write_back_of_games_without_id(spark):
+    base = spark.createDataFrame([(1, "a", 0.0), (None, "b", None), (None, "c", None)], "gameId int, homeTeamName string, homeTeamScore double")
+    updates = spark.createDataFrame([(None, "b", 3.0), (None, "b", 2.0), (1, "a", 1.0)], base.schema)
+    out = refresh.write_back(base, updates, ["homeTeamScore"], ["gameId", "homeTeamName"])
+    assert {tuple(r) for r in out.collect()} == {(1, "a", 1.0), (None, "b", 3.0), (None, "c", None)} and out.count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        master, applicationId = "spark://host:7077", "x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Cluster(), {}
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
