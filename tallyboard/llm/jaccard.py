@@ -307,21 +307,21 @@ class _Links:
     def compare(self, pairs: DataFrame) -> None:
         """Verify pairs and add the links found."""
         found = stage(verified(self.docs, pairs), "found")
+        if self.comps is not None and found.isEmpty():
+            return
         self.links = found if self.links is None else self.links.union(found)
         self.comps = components(self.links)
 
-    def try_out(self, pairs: DataFrame) -> None:
-        """Compare distinct pairs, of each set with its smallest partner first and then what is still apart."""
+    def try_out(self, pairs: DataFrame, least_first: bool = False) -> None:
+        """Compare the distinct pairs that may link; with `least_first` each set with its smallest
+        partner before the others, of which most are in one component then."""
         pairs = stage(likely(pairs, self.sets), "likely")
-        if pairs.isEmpty():
-            if self.comps is None:
-                self.comps = components(pairs)
-            return
-        least = pairs.groupBy("b").agg(F.min("a").alias("_a")).withColumnRenamed("b", "_b")
-        self.compare(pairs.join(least, (F.col("b") == F.col("_b")) & (F.col("a") == F.col("_a"))).drop("_a", "_b"))
-        rest = stage(self.apart(pairs), "rest")
-        if not rest.isEmpty():
-            self.compare(rest)
+        if least_first:
+            least = pairs.groupBy("b").agg(F.min("a").alias("_a")).withColumnRenamed("b", "_b")
+            self.compare(pairs.join(least, (F.col("b") == F.col("_b")) & (F.col("a") == F.col("_a"))).drop("_a", "_b"))
+            pairs = stage(self.apart(pairs), "rest")
+        if not pairs.isEmpty():
+            self.compare(pairs)
 
 
 def _in_groups(rows: DataFrame, links: _Links) -> DataFrame:
@@ -407,7 +407,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     led = stage(shared_keys(docs), "shared")
     links = _Links(docs, sets)
     pairs = stage(led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links.try_out(pairs)
+    links.try_out(pairs, least_first=True)
 
     # Keys in which some sets stand apart: small groups are gone through, large ones don't count.
     failed = stage(links.apart(pairs), "failed")
