@@ -703,11 +703,15 @@ def _features(spark, sf):
     return stage(history.feature_set(fx.games(spark, sf), fx.venues(spark, sf)), "features")
 
 
+# As many trees as the work this covers fits; all features at every split.
+_FOREST = {"n_trees": 100, "max_depth": 5}
+
+
 @query("train_scores")
 def _(spark, sf):
-    """Forecasts next to the scores of played games, from a small forest."""
+    """Forecasts next to the scores of played games."""
     features = _features(spark, sf)
-    fitted = model.train_scores(features, n_trees=8, max_depth=4)
+    fitted = model.train_scores(features, **_FOREST)
     return model.predict(fitted, features.where(F.col("homeTeamScore").isNotNull())).select(
         "gameId", "homeTeamScore", "awayTeamScore", "homeTeamScore_predicted", "awayTeamScore_predicted"
     )
@@ -716,13 +720,13 @@ def _(spark, sf):
 @query("score_games")
 def _(spark, sf):
     features = _features(spark, sf)
-    fitted = model.train_scores(features, n_trees=8, max_depth=4)
+    fitted = model.train_scores(features, **_FOREST)
     return model.score_games(features, fitted).select("gameId", "homeTeamScore", "awayTeamScore", "lastPeriod")
 
 
 @query("holdout_metrics")
 def _(spark, sf):
-    return model.holdout_metrics(_features(spark, sf), "20002001", n_trees=8, max_depth=4)
+    return model.holdout_metrics(_features(spark, sf), "20002001", **_FOREST)
 
 
 # A forest of no depth predicts the mean, so the whole path has an exact answer.
