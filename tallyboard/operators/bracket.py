@@ -309,18 +309,21 @@ def series_schedule(
     home_ice: str = "team1",
     scenario: str | None = None,
     second_day: str = CONFERENCES[1],
+    counted: str = "pair",
 ) -> DataFrame:
     """Games of each pair's series, in the shape of the game log.
 
     A round begins `ROUND_BUFFER_DAYS` after the last game in `log`; pairs of the
     second conference begin a day later; the final has its own day offsets.
     `already` holds games of these pairs that are scheduled: the series then
-    counts from the first one at team1's venue, and as many games are left out
-    as are scheduled there. With `home_ice="by_seed"` the better conference seed
+    counts from the first of them, and as many games are left out as there are.
+    `counted="first_host"` looks at the games at team1's venue only. With `home_ice="by_seed"` the better conference seed
     hosts first, else team1 does.
     """
     if home_ice not in ("team1", "by_seed"):
         raise ValueError("home_ice must be 'team1' or 'by_seed'")
+    if counted not in ("pair", "first_host"):
+        raise ValueError("counted must be 'pair' or 'first_host'")
     keys = [*lead(scenario), "seasonName"]
     last_day = log.groupBy(*keys).agg(F.max("gameDate").alias("_last"))
     final = F.col("round") == FINAL_ROUND
@@ -329,10 +332,16 @@ def series_schedule(
         "_start", F.date_add("_last", F.when(delayed, ROUND_BUFFER_DAYS + 1).otherwise(ROUND_BUFFER_DAYS))
     )
     if already is not None:
-        begun = already.groupBy(*keys, F.col("homeTeamName").alias("team1")).agg(
-            F.min("gameDate").alias("_begun"), F.count(F.lit(1)).alias("_done")
-        )
-        pairs = pairs.join(begun, [*keys, "team1"], "left")
+        taken = [F.min("gameDate").alias("_begun"), F.count(F.lit(1)).alias("_done")]
+        if counted == "first_host":
+            begun = already.groupBy(*keys, F.col("homeTeamName").alias("team1")).agg(*taken)
+            pairs = pairs.join(begun, [*keys, "team1"], "left")
+        else:
+            low = F.least("homeTeamName", "awayTeamName").alias("_low")
+            high = F.greatest("homeTeamName", "awayTeamName").alias("_high")
+            begun = already.groupBy(*keys, low, high).agg(*taken)
+            pairs = pairs.withColumns({"_low": F.least("team1", "team2"), "_high": F.greatest("team1", "team2")})
+            pairs = pairs.join(begun, [*keys, "_low", "_high"], "left")
     else:
         pairs = pairs.withColumns({"_begun": F.lit(None).cast("date"), "_done": F.lit(0)})
     swap = F.lit(False)

@@ -67,19 +67,12 @@ def daily_accuracy(compared: DataFrame, overall: bool = False) -> DataFrame:
 def with_odds(compared: DataFrame, odds: DataFrame) -> DataFrame:
     """Compared games with their odds; games without odds keep nulls.
 
-    Odds belong to a game if the id and both names agree. The names are compared
-    by range, which is the same but no hash key: the join then goes by id alone,
-    as the one before it, and the compared games are not shuffled again.
+    Odds belong to a game if the id and both names agree. With the library's
+    session settings the join keeps the partitioning by id of the compared games.
     """
-    offered = odds.select("gameId", "homeTeamName", "awayTeamName", "homeTeamOdds", "awayTeamOdds")
-
-    def equal(name: str) -> Column:
-        return (compared[name] <= offered[name]) & (compared[name] >= offered[name])
-
-    matched = (compared["gameId"] == offered["gameId"]) & equal("homeTeamName") & equal("awayTeamName")
-    return compared.join(offered, matched, "left").select(
-        *[compared[c] for c in compared.columns], offered["homeTeamOdds"], offered["awayTeamOdds"]
-    )
+    keys = ["gameId", "homeTeamName", "awayTeamName"]
+    offered = odds.select(*keys, "homeTeamOdds", "awayTeamOdds")
+    return compared.join(offered, keys, "left").select(*compared.columns, "homeTeamOdds", "awayTeamOdds")
 
 
 def missing_odds(priced: DataFrame) -> DataFrame:

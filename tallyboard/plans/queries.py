@@ -292,7 +292,7 @@ def _(spark, sf):
 def _calendar(spark, sf, pairs, already=None):
     games = _coarse_starts(fx.timed_games(spark, sf))
     return bracket.series_schedule(
-        pairs, games, bracket.home_venue(games), bracket.usual_start(games), already
+        pairs, games, bracket.home_venue(games), bracket.usual_start(games), already, counted="first_host"
     ).select(
         "seasonName", "round", "slot", "gameNumber", text("gameDate"), "homeTeamName", "awayTeamName", "venue",
         "venueTimezone", "gameTimeEST", "gameType",

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # A join on more keys than a side is partitioned by doesn't shuffle that side again.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

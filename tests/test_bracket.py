@@ -130,6 +130,15 @@ def test_scheduled_games_are_left_out(spark):
     assert rows[0]["gameDate"] == date(2025, 4, 20)
 
 
+def test_scheduled_games_at_both_venues_count(spark):
+    """Games 3 and 4 are at the other side's; none of the four comes out again."""
+    games = [("2025-04-15", "E1", "E8"), ("2025-04-17", "E1", "E8"), ("2025-04-19", "E8", "E1"), ("2025-04-21", "E8", "E1")]
+    already = log(spark, *[game(2 + i, *g, kind=3) for i, g in enumerate(games)])
+    rows = calendar(spark, [FIRST[0]], already=already)
+    assert [r["gameNumber"] for r in rows] == [5, 6, 7]
+    assert [r["gameNumber"] for r in calendar(spark, [FIRST[0]], already=already, counted="first_host")][0] == 3
+
+
 def test_better_seed_can_host_first(spark):
     worse_first = (1, 0, "Eastern", "North", "E8", "E1", 8, 1)
     assert calendar(spark, [worse_first], home_ice="by_seed")[0]["homeTeamName"] == "E1"
