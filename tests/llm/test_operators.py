@@ -165,6 +165,27 @@ def test_chains_against_all_orders(spark):
         assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(chain, chain[1:]))
 
 
+def places(got):
+    out = {}
+    for r in got:
+        out.setdefault(r.doc_id, set()).update(range(r.begin, r.end))
+    return out
+
+
+def test_passages_whose_whole_chain_fails(spark):
+    parts = [" ".join(prose(40 + i, 120).split()[:52]) for i in range(3)]
+    far = lambda seed: " ".join(prose(seed, 60).split()[:25])
+    whole = " ".join(prose(50, 200).split()[:120]).split()
+    rows = [
+        (1, " ".join([parts[0], far(60), parts[1], far(61), parts[2]])), (2, " ".join([parts[0], far(62), parts[1], far(63), parts[2]])),
+        (3, " ".join(whole)), (4, " ".join(whole[:60] + prose(64, 90).split()[:35] + whole[60:])),
+    ]
+    found = places(passages.repeated_passages(docs(spark, rows)).collect())
+    exact = covered({i: lowered(t).split() for i, t in rows}, 50)
+    for i in (1, 2, 3, 4):
+        assert exact[i] and exact[i] <= found[i], i
+
+
 def test_leaks(spark, awkward):
     item = " ".join(prose(21, 25).split())
     bench = spark.createDataFrame(
