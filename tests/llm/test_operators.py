@@ -186,6 +186,21 @@ def test_passages_whose_whole_chain_fails(spark):
         assert exact[i] and exact[i] <= found[i], i
 
 
+def test_passages_at_several_places(spark):
+    shared = prose(70, 60)
+    rows = [
+        (1, " ".join([shared, prose(71, 90), shared, prose(72, 80), shared])), (2, prose(73, 30) + " " + shared),
+        (3, " ".join([prose(74, 20), shared, prose(75, 70), shared])), (4, " ".join([prose(76, 60)] * 2)),
+    ]
+    found = places(passages.repeated_passages(docs(spark, rows + rows[:1])).collect())
+    exact = covered({i: lowered(t).split() for i, t in rows}, 50)
+    assert [len(exact[i]) for i in (1, 2, 3, 4)] == [180, 60, 120, 0]
+    for i in (1, 2, 3):
+        assert exact[i] <= found[i], i
+    # Twice in one document only is not in another one.
+    assert 4 not in found
+
+
 def test_leaks(spark, awkward):
     item = " ".join(prose(21, 25).split())
     bench = spark.createDataFrame(
