@@ -165,6 +165,44 @@ def test_chains_against_all_orders(spark):
         assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(chain, chain[1:]))
 
 
+def test_chains_with_gaps_against_all_orders(spark):
+    import numpy as np
+
+    rng, far = random.Random(14), passages.MAX_GAP + passages.K
+    for trial in range(300):
+        points = [(i, i + 7) for i in range(0, rng.choice([0, 500]), 3)]  # a long block that is far ahead in score
+        for _ in range(rng.randint(1, 6)):
+            a, b, step = rng.randrange(600, 4000), rng.randrange(600, 4000), rng.choice([1, 1, 5])
+            points += [(a + step * i, b + step * i) for i in range(rng.randint(1, 20))]
+            points += [(a + rng.randrange(60), b + rng.randrange(60)) for _ in range(rng.randint(0, 25))]
+        rng.shuffle(points)
+        x, y = map(list, zip(*points))
+        best = {}
+        for i in sorted(range(len(x)), key=lambda i: (x[i], y[i])):
+            before = [
+                best[j] - passages.GAP_COST * (x[i] - x[j] + y[i] - y[j])
+                for j in best
+                if 0 < x[i] - x[j] <= far and 0 < y[i] - y[j] <= far
+            ]
+            best[i] = 1 + max([0, *before])
+        made = passages.chains(np.array(x), np.array(y))
+        assert sorted(i for chain in made for i in chain) == list(range(len(x)))
+        score = len(made[0]) - passages.GAP_COST * (x[made[0][-1]] - x[made[0][0]] + y[made[0][-1]] - y[made[0][0]])
+        assert abs(score - max(best.values())) < 1e-9, trial
+        for chain in made:
+            assert all(0 < x[b] - x[a] <= far and 0 < y[b] - y[a] <= far for a, b in zip(chain, chain[1:]))
+
+
+def test_passage_after_a_long_block(spark):
+    block, fuzzy = prose(80, 500), prose(81, 70).split()
+    changed = fuzzy[:33] + prose(82, 5).split() + fuzzy[38:]
+    rows = [
+        (1, " ".join([block, prose(83, 300), *fuzzy, prose(84, 50)])), (2, " ".join([block, prose(85, 300), *changed, prose(86, 50)])),
+    ]
+    found = places(passages.repeated_passages(docs(spark, rows)).collect())
+    assert set(range(800, 870)) <= found[1] and set(range(800, 870)) <= found[2]
+
+
 def places(got):
     out = {}
     for r in got:
