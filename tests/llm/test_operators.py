@@ -239,6 +239,22 @@ def test_passages_at_several_places(spark):
     assert 4 not in found
 
 
+def test_passages_with_changes_all_over(spark):
+    rng = random.Random(90)
+    made = lambda n: ["".join(rng.choices("abcdefghijklmnopqrst", k=8)) for _ in range(n)]
+    rows = []
+    for case in range(40):
+        one = made(50)
+        two = list(one)
+        n = (5, 6, 8)[case % 3]
+        for i in rng.sample(range(1, 49), 10) if case >= 30 else range(rng.randrange(1, n - 1), 49, n):
+            two[i] = made(1)[0]
+        rows += [(len(rows), " ".join(made(80) + one + made(80))), (len(rows) + 1, " ".join(made(60) + two + made(60)))]
+    found = places(passages.repeated_passages(docs(spark, rows)).collect())
+    hit = [set(range(b, b + 50)) <= found.get(i, set()) for i, b in ((i, 60 if i % 2 else 80) for i in range(len(rows)))]
+    assert all(hit[:60]) and sum(hit[60:]) >= 18
+
+
 def test_leaks(spark, awkward):
     item = " ".join(prose(21, 25).split())
     bench = spark.createDataFrame(
