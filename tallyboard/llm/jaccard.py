@@ -16,7 +16,7 @@ In a group of sets with the same key each is compared with the smallest, and oth
 if that leaves them apart, so that a group of many copies makes one pair for each of them. Before the
 sets themselves are compared, sizes and 512-bit folded parity sketches rule out what they can.
 
-Sets and shingles are told apart by 64-bit hashes.
+Sets, texts and shingles are told apart by 64-bit hashes; a set's words are read from one text that has it.
 """
 
 from __future__ import annotations
@@ -212,7 +212,7 @@ def _led(keyed: DataFrame) -> DataFrame:
 
 
 def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b with their documents: the pairs that sizes and sketches don't rule out."""
+    """a, b with the keys of their texts: the pairs that sizes and sketches don't rule out."""
 
     def tested(batches):
         for batch in batches:
@@ -223,37 +223,43 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             sides = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(n, -1) for i in (4, 5)]
             unlike = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1)
             ok = 9 * unlike.astype(np.int64) <= batch.column(6).to_numpy()
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:4]], ["a", "b", "doc_a", "doc_b"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:4]], ["a", "b", "key_a", "key_b"])
 
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    kind = sets.schema["doc_id"].dataType.simpleString()
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("text_key").alias(f"key_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     return (
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
         .where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-        .select("a", "b", "doc_a", "doc_b", "sketch_a", "sketch_b", (F.col("n_a") + F.col("n_b")).alias("n"))
-        .mapInArrow(tested, f"a long, b long, doc_a {kind}, doc_b {kind}")
+        .select("a", "b", "key_a", "key_b", "sketch_a", "sketch_b", (F.col("n_a") + F.col("n_b")).alias("n"))
+        .mapInArrow(tested, "a long, b long, key_a long, key_b long")
     )
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text of the documents in `wanted` (node, doc_id).
+    """node, text of `wanted` (node, text_key): one row for each node, whatever the ids and however often
+    a text is given.
 
-    Only documents whose id is in a bit table of fixed size are shuffled, which are the wanted ones and
-    a few by chance; rows that share an id are told apart by their set.
+    Only texts whose key is in a bit table of fixed size are shuffled, which are the wanted ones and a few
+    by chance, and of equal texts one by each task.
     """
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64("doc_id").alias("token"))))
+    bits = spark.sparkContext.broadcast(bit_table(wanted.select(F.col("text_key").alias("token"))))
 
     def pick(batches):
+        seen: set[int] = set()
         for batch in batches:
-            at = _present(bits.value, batch.column(0).to_numpy().view(np.uint64))
-            yield batch.select([1, 2]).take(pa.array(at))
+            keys = batch.column(0).to_numpy()
+            at = []
+            for i in _present(bits.value, keys.view(np.uint64)).tolist():
+                key = int(keys[i])
+                if key not in seen:
+                    seen.add(key)
+                    at.append(i)
+            yield batch.take(pa.array(at, pa.int64()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    some = _texts(docs).select(F.xxhash64("doc_id").alias("token"), "doc_id", "text").mapInArrow(pick, f"doc_id {kind}, text string")
-    wanted = wanted.select("node", F.col("doc_id").alias("_doc"))
-    return some.join(wanted, some["doc_id"].eqNullSafe(wanted["_doc"])).select("node", "text")
+    texts = docs.select(_text_key(docs).alias("text_key"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    some = texts.mapInArrow(pick, "text_key long, text string").dropDuplicates(["text_key"])
+    return some.join(wanted, "text_key").select("node", "text")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -275,7 +281,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     ok.append(linked(common, len(kept[1]), len(other)))
                 yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("node"), F.col("doc_a").alias("doc_id")).union(pairs.select("b", "doc_b")).distinct()
+    wanted = pairs.select(F.col("a").alias("node"), F.col("key_a").alias("text_key")).union(pairs.select("b", "key_b")).distinct()
     texts = stage(texts_of(docs, wanted), "texts")
     left = texts.withColumnsRenamed({"node": "a", "text": "text_a"})
     right = texts.withColumnsRenamed({"node": "b", "text": "text_b"})
@@ -401,7 +407,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     ship(spark)
     every = stage(described(docs), "sets")
     sets = every.where("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "slack", "sketch")]
+        F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n_shingles", "slack", "sketch")]
     )
     sets = stage(sets, "distinct_sets")
     led = stage(shared_keys(docs), "shared")
@@ -422,7 +428,7 @@ def grouped(docs: DataFrame) -> DataFrame:
         weak = sets.join(hot, "node", "left").where(F.col("slack") < F.coalesce("hot", F.lit(0)))
 
     # Between weak sets nothing is sure yet.
-    weak = stage(weak.where("n_shingles >= 4").select("node", "doc_id"), "weak_sets")
+    weak = stage(weak.where("n_shingles >= 4").select("node", "text_key"), "weak_sets")
     rows = stage(_weak_prefixes(docs, weak), "weak_keys")
     pairs = stage(links.apart(_led(rows).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()), "weak_pairs")
     if not pairs.isEmpty():

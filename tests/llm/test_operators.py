@@ -382,6 +382,24 @@ def test_near_copies(spark, awkward):
     assert jaccard.near_copies(awkward.limit(0)).count() == 0
 
 
+def test_near_copies_with_repeated_shared_and_null_ids(spark):
+    # All share a passage, so that their links are settled by the rarest shingles.
+    boiler, rng, rows = prose(99, 80), random.Random(7), []
+    for i in range(36):
+        words = prose(300 + i, 60).split()
+        copy = list(words)
+        for _ in range(2):
+            copy[rng.randrange(60)] = "other"
+        one, two = (boiler + " " + " ".join(w) for w in (words, copy))
+        rows += [[(6000 + i, one), (7000 + i, two)] * 3, [(4000 + i, one), (3000, two)], [(5000 + i, one), (None, two)]][i % 3]
+    got = jaccard.near_copies(docs(spark, rows)).collect()
+    assert Counter(map(tuple, got)) == plain_components(rows)
+    # One text for each set asked for.
+    frame = docs(spark, rows)
+    sets = jaccard.described(frame).groupBy("node").agg({"text_key": "min"}).withColumnRenamed("min(text_key)", "text_key")
+    assert jaccard.texts_of(frame, sets).count() == sets.count() == 72
+
+
 def test_classifier(spark, awkward):
     docs10, labels10 = (queries.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     model = subword.train(docs10, labels10)
