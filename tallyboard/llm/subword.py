@@ -157,7 +157,9 @@ def fit(
             seen += (step**2).mean(axis=1, keepdims=True)
             vectors -= rate * step / np.sqrt(seen)
     # A bucket that no row has still holds its random start; it says nothing about a text.
-    known = seen[:, 0] > 2e-8
+    known = np.zeros(_BUCKETS, dtype=bool)
+    for _, buckets, _ in rows:
+        known[buckets] = True
     folded = np.where(known, vectors @ (layer[:, 1] - layer[:, 0]), 0).astype(np.float32)
     return folded, float(bias[1] - bias[0])
 

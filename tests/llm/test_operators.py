@@ -414,6 +414,17 @@ def test_classifier(spark, awkward):
     assert subword.score(awkward.limit(0), model).count() == 0
 
 
+def test_classifier_keeps_rare_buckets():
+    import numpy as np
+
+    rows = []
+    for i in range(64):  # long documents: bucket 100 + i is a small share of one of them only
+        shares = np.array([1 - 1e-5, 1e-5], np.float32)
+        rows.append((i % 2, np.array([i % 2, 100 + i]), shares))
+    folded, _ = subword.fit(rows)
+    assert (folded[100:164] != 0).all() and not folded[200:300].any()
+
+
 def test_token_counts(spark, awkward):
     from tokenizers import Tokenizer
 
