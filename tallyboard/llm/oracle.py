@@ -101,10 +101,77 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_
 """
 
 
+#: crc32 byte by byte, from its table; the words' code points are below 256, so one has two bytes at most.
+SPELLING = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k:
+      CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents),
+distinct_runs AS (
+  SELECT doc_id, w, count(*) AS n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, (unicode(c) & 63 | 128)::BIGINT] END)) AS b
+  FROM runs WHERE length(w) >= 5 GROUP BY doc_id, w),
+hashed AS (
+  SELECT w, n, xor(list_reduce(list_concat([4294967295::BIGINT], b),
+      lambda s, x: xor(t[(xor(s, x) & 255) + 1], s >> 8)), 4294967295) AS h
+  FROM distinct_runs, crc),
+cut AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n
+  FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (
+  SELECT word, i, left(word, i::INT - 1) || substr(word, i::INT + 1) AS l
+  FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+near AS (
+  SELECT a.word, b.word AS other FROM less AS a JOIN less AS b USING (i, l) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word FROM less AS a JOIN words AS b ON a.l = b.word
+  UNION SELECT b.word, a.word FROM less AS a JOIN words AS b ON a.l = b.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, first(other ORDER BY w.n DESC, other) AS other, max(w.n) AS other_n
+  FROM near JOIN words AS w ON w.word = other GROUP BY near.word),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+    CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS at, form AS next FROM forms
+  UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN forms AS f ON f.word = walk.next)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n FROM forms AS f JOIN walk ON walk.word = f.word AND walk.next IS NULL
+"""
+
+_TERMS = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SEARCH = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    {_TERMS} AS w
+  FROM documents),
+q AS (
+  SELECT DISTINCT item_id, unnest({_TERMS}) AS t
+  FROM benchmark),
+s AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(coalesce(sum(len(w)), 0) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+p AS (
+  SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+g AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS weight FROM f, s),
+m AS (SELECT r, doc_id, CAST(10 + (90 * len(w)::BIGINT * nn) // l AS BIGINT) AS m FROM d, s WHERE len(w) > 0),
+c AS (
+  SELECT item_id, doc_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN g USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY item_id, doc_id, r)
+SELECT item_id, CAST(k AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS k FROM c WHERE score > 0)
+WHERE k <= 10
+"""
+
+
 def build() -> dict[str, str]:
     return {
         "op2_chat_format": CHAT,
         "op3_line_cleaning": line_cleaning(),
         "op5_decontamination": DECONTAMINATION,
+        "op12_spelling_variants": SPELLING,
+        "op13_ranked_search": SEARCH,
         "op7_jaccard_join": JACCARD,
     }
