@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tallyboard.operators import forest
+
 VIEWS = {
     "games": """
 SELECT o.o_orderkey AS gameId,
@@ -842,6 +844,30 @@ WHERE {played} AND seasonName = '20002001'""",
         "games",
     )
 
+    # Samples of the trees of a forest, and what trees of no depth vote for the games they haven't seen.
+    h = f"gameId % {(1 << 31) - 1}"
+    for step, (by, shift) in enumerate(forest.ROUNDS):
+        h = f"(SELECT xor(h, h >> {shift}) FROM (SELECT ({h} * {by} + tree * 7919 + {42 + step}) % {(1 << 31) - 1} AS h))"
+    steps = " + ".join(f"CAST(h >= {limit} AS INT)" for limit in forest.LIMITS)
+
+    def samples(n: int) -> str:
+        return f"SELECT *, {steps} AS weight FROM (SELECT g.*, tree, {h} AS h FROM games g, range({n}) AS r(tree))"
+
+    add("bootstrap_weights", f"SELECT gameId, CAST(tree AS INT) AS tree, CAST(weight AS INT) AS weight FROM ({samples(5)})", "games")
+    add(
+        "oob_metrics_mean",
+        f"""SELECT count(h) AS games, round((avg((homeTeamScore - h) ** 2) + avg((awayTeamScore - a) ** 2)) / 2, 6) AS mse,
+  round((1 - avg((homeTeamScore - h) ** 2) / var_pop(homeTeamScore) FILTER (h IS NOT NULL)
+    + 1 - avg((awayTeamScore - a) ** 2) / var_pop(awayTeamScore) FILTER (h IS NOT NULL)) / 2, 6) AS r2,
+  round(avg(CASE WHEN h IS NULL THEN NULL WHEN sign(homeTeamScore - awayTeamScore) = sign(h - a) THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+  count(*) - count(h) AS unvoted
+FROM (SELECT gameId, homeTeamScore, awayTeamScore, avg(CASE WHEN weight = 0 THEN h END) AS h, avg(CASE WHEN weight = 0 THEN a END) AS a
+  FROM (SELECT gameId, homeTeamScore, awayTeamScore, weight,
+      sum(weight * homeTeamScore) OVER t / sum(weight) OVER t AS h, sum(weight * awayTeamScore) OVER t / sum(weight) OVER t AS a
+    FROM ({samples(20)}) WHERE {played} WINDOW t AS (PARTITION BY tree)) GROUP BY ALL)""",
+        "games",
+    )
+
     # Landed files read back.
     add("read_teams", "SELECT teamName, conferenceName, divisionName FROM teams", "teams")
     add("read_venues", "SELECT venue, venue_lat, venue_long FROM venues", "venues")

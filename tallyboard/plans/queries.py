@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyboard.functions import dates, scoring
 from tallyboard.functions.geo import haversine_km
-from tallyboard.operators import bracket, evaluate, history, model, outcomes, refresh, standings, timeline
+from tallyboard.operators import bracket, evaluate, forest, history, model, outcomes, refresh, standings, timeline
 from tallyboard.plans import fixtures as fx
 from tallyboard.schemas import GAME_LOG, RAW_SCHEDULE, RAW_STANDINGS
 from tallyboard.session import shared_dir, stage
@@ -703,30 +703,61 @@ def _features(spark, sf):
     return stage(history.feature_set(fx.games(spark, sf), fx.venues(spark, sf)), "features")
 
 
-# As many trees as the work this covers fits; all features at every split.
-_FOREST = {"n_trees": 100, "max_depth": 5}
+# As many trees as the work this covers fits, grown to the end; all features at every split.
+_TREES = {"n_trees": 100}
+
+
+@query("bootstrap_weights")
+def _(spark, sf):
+    """How often each game is in the samples of the first trees."""
+    trees = fx.games(spark, sf).select("gameId", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("tree"))
+    return trees.select("gameId", "tree", forest.bootstrap_weight(F.col("gameId"), F.col("tree"), 42).cast("int").alias("weight"))
 
 
 @query("train_scores")
 def _(spark, sf):
     """Forecasts next to the scores of played games."""
-    features = _features(spark, sf)
-    fitted = model.train_scores(features, **_FOREST)
-    return model.predict(fitted, features.where(F.col("homeTeamScore").isNotNull())).select(
-        "gameId", "homeTeamScore", "awayTeamScore", "homeTeamScore_predicted", "awayTeamScore_predicted"
-    )
+    rows = forest.numbered(_features(spark, sf))
+    out = forest.predict(forest.grow(rows, **_TREES), rows.where("_y IS NOT NULL"))
+    return out.select("gameId", "homeTeamScore", "awayTeamScore", "homeTeamScore_predicted", "awayTeamScore_predicted")
 
 
 @query("score_games")
 def _(spark, sf):
-    features = _features(spark, sf)
-    fitted = model.train_scores(features, **_FOREST)
-    return model.score_games(features, fitted).select("gameId", "homeTeamScore", "awayTeamScore", "lastPeriod")
+    out = forest.score_games(_features(spark, sf), **_TREES)
+    return out.select("gameId", "homeTeamScore", "awayTeamScore", "lastPeriod")
 
 
 @query("holdout_metrics")
 def _(spark, sf):
-    return model.holdout_metrics(_features(spark, sf), "20002001", **_FOREST)
+    return forest.holdout_metrics(_features(spark, sf), "20002001", **_TREES)
+
+
+@query("oob_metrics")
+def _(spark, sf):
+    return forest.oob_metrics(_features(spark, sf), **_TREES)
+
+
+@query("oob_metrics_mean")
+def _(spark, sf):
+    """Trees of no depth vote their sample's mean, which SQL can tell."""
+    out = forest.oob_metrics(_features(spark, sf), n_trees=20, max_depth=0)
+    return rounded(out, "mse", "r2", "accuracy")
+
+
+@query("feature_importance")
+def _(spark, sf):
+    features = _features(spark, sf)
+    return forest.feature_importance(forest.grow(forest.numbered(features), **_TREES), model.feature_columns(features))
+
+
+@query("permutation_importance")
+def _(spark, sf):
+    """Of a day's number, the rest and the home team, one of each kind."""
+    features = _features(spark, sf)
+    rows = forest.numbered(features)
+    columns = ["gameDate", "homeTeamDaysSinceLastGame", "homeTeamName"]
+    return forest.permutation_importance(forest.grow(rows, n_trees=20), rows, model.feature_columns(features), columns)
 
 
 # A forest of no depth predicts the mean, so the whole path has an exact answer.
