@@ -65,7 +65,7 @@ def _ips(text: str):
         for i in range(0, len(parts) - 3, 4):
             four = parts[i : i + 4]
             end = at + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in four):
                 yield at, end
             at = end + 1
 
@@ -98,7 +98,7 @@ def _checks(token: str) -> str:
     if 14 <= len(digits) <= 19 and len(digits) + 4 >= len(token):
         return f"luhn {luhn(digits)}"
     parts = token.split(".")
-    if len(parts) == 4 and all(p.isdigit() and len(p) < 9 for p in parts):
+    if len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 9 for p in parts):
         return f"address {all(int(p) <= 255 for p in parts)}"
     return "none"
 
@@ -281,10 +281,18 @@ def fit(graphs, labels: np.ndarray, steps: int = 60, rate: float = 0.3, decay: f
     return weights, pair
 
 
+def sample_texts(docs: DataFrame, sample: int) -> DataFrame:
+    """text: at most `sample` distinct texts with a digit or at sign, those of the smallest hash."""
+    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    # Hashes are made distinct first, so that no group of copies fills the sample; texts follow by their hash.
+    hashes = texts.select(F.xxhash64("text").alias("_hash")).distinct()
+    some = F.broadcast(bounded_sample(hashes, F.col("_hash"), sample))
+    return texts.join(some, F.xxhash64("text") == F.col("_hash")).groupBy("_hash").agg(F.min("text").alias("text")).select("text")
+
+
 def train(docs: DataFrame, sample: int = 1000):
-    """Model from at most `sample` documents with a digit or at sign, those of the smallest text hash."""
+    """Model from at most `sample` distinct texts (`sample_texts`), with the patterns' spans as labels."""
     ship(docs.sparkSession)
-    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
 
     def describe(batches):
         for batch in batches:
@@ -297,8 +305,7 @@ def train(docs: DataFrame, sample: int = 1000):
                 [pa.array([r[i] for r in rows], kinds) for i in range(3)], ["features", "edges", "labels"]
             )
 
-    some = bounded_sample(texts, F.xxhash64("text"), sample)
-    found = some.mapInArrow(describe, "features array<long>, edges array<long>, labels array<long>").toArrow().to_pylist()
+    found = sample_texts(docs, sample).mapInArrow(describe, "features array<long>, edges array<long>, labels array<long>").toArrow().to_pylist()
     graphs = [(r["features"], _rows(r["edges"])) for r in found]
     labels = np.array([x for r in found for x in r["labels"]], dtype=np.int64)
     weights, pair = fit(graphs, labels)

@@ -291,7 +291,7 @@ def plain_spans(text):
         for m in re.finditer(pattern, text or ""):
             digits = re.sub("[^0-9]", "", m.group())
             ok = {
-                "email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")),
+                "email": True, "ip": kind == "ip" and all(int(x.lstrip("0")[:9] or "0") <= 255 for x in m.group().split(".")),
                 "card": 14 <= len(digits) <= 19 and pii.luhn(digits), "phone": 10 <= len(digits) <= 15,
             }[kind]
             if ok:
@@ -301,7 +301,7 @@ def plain_spans(text):
 
 def test_personal_data(spark, awkward):
     rng = random.Random(5)
-    parts = ["a", "b.", "@", "1", "12", "255", "256", ".", "-", " ", "+1", "(", "4111111111111111", "é", "\n", "x@y.z", "1.2.3.4", "+44 20 7946 0958"]
+    parts = ["a", "b.", "@", "1", "12", "255", "256", ".", "-", " ", "+1", "(", "4111111111111111", "é", "\n", "x@y.z", "1.2.3.4", "+44 20 7946 0958", "²", "٣", "0" * 4500]
     for _ in range(3000):
         text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
         assert pii.base_spans(text) == plain_spans(text), text
@@ -319,6 +319,14 @@ def test_personal_data(spark, awkward):
     masked = pii.without_personal(awkward, model)
     assert masked.columns == awkward.columns and masked.count() == awkward.count()
     assert pii.find_personal(awkward.limit(0)).count() == 0
+    # Digits of other scripts and numbers of any length are no addresses; a leading zero is nothing.
+    odd = ["see 1.2.3.² there", "at ١.٢.٣.٤ now", "0" * 5000 + ".1.1.1", "9" * 5000 + ".1.1.1", "1.2.3." + "0" * 5000, "tel +٤٤ 1"]
+    found = {r.doc_id: r.n_ip for r in pii.find_personal(docs(spark, list(enumerate(odd))), model).collect()}
+    assert found == {0: 0, 1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
+    # A group of copies is one text of the sample, however large.
+    copies = docs(spark, [(i, "one address 10.0.0.1 for all") for i in range(300)] + [(i, f"card {i} of a@b{i}.cd") for i in range(30)])
+    picked = pii.sample_texts(copies, 20).collect()
+    assert len({r.text for r in picked}) == len(picked) == 20
 
 
 def test_message_passing_is_exact_on_a_chain():
