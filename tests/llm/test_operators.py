@@ -301,7 +301,7 @@ def plain_spans(text):
 
 def test_personal_data(spark, awkward):
     rng = random.Random(5)
-    parts = ["a", "b.", "@", "1", "12", "255", "256", ".", "-", " ", "+1", "(", "4111111111111111", "é", "\n", "x@y.z", "1.2.3.4", "+44 20 7946 0958", "²", "٣", "0" * 4500]
+    parts = ["a", "b.", "@", "1", "12", "255", "256", ".", "-", " ", "+1", "(", "4111111111111111", "é", "\n", "x@y.z", "1.2.3.4", "+44 20 7946 0958", "²", "٣", "0" * 40]
     for _ in range(3000):
         text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
         assert pii.base_spans(text) == plain_spans(text), text
