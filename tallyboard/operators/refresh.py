@@ -117,9 +117,64 @@ def seasons_to_refresh(games: DataFrame, cached: DataFrame) -> DataFrame:
     )
 
 
+def season_fingerprints(games: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """rows, total and xored of each season's row hashes, whatever the rows' order; `columns` are all by default.
+
+    A hash takes a null by its place, so a value that moves to another column shows.
+    """
+    names = sorted(columns or games.columns)
+    parts = [part for c in names for part in (F.col(c), F.col(c).isNull())]
+    h = F.xxhash64(*parts)
+    return games.groupBy("seasonName").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor(h).alias("xored")
+    )
+
+
+def changed_seasons(games: DataFrame, cached: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Seasons whose rows aren't those that the `cached` fingerprints were taken of; new seasons are among them."""
+    now = season_fingerprints(games, columns)
+    old = cached.select(*[F.col(c).alias(f"_{c}") for c in cached.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("seasonName", "rows", "total", "xored")]
+    return now.join(old, same, "left_anti").select("seasonName", "rows")
+
+
+#: What tells games without an id apart, as far as a log has these columns.
+WITHOUT_ID = ("gameDate", "startTimeUTC", "homeTeamName", "awayTeamName")
+
+
+def identity(games: DataFrame, key: str = "gameId") -> list[str]:
+    return [c for c in WITHOUT_ID if c in games.columns and c != key]
+
+
+def _matched(left: DataFrame, right: DataFrame, key: str, how: str, also: Column | None) -> DataFrame:
+    """Rows of `left` with, or without, a row of the same game in `right`; games without an id go by `identity`."""
+    names = [c for c in identity(left, key) if c in right.columns]
+
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        without = {f"_{c}": F.when(F.col(key).isNull(), F.col(c)) for c in names}
+        return df.withColumns(without).alias(side)
+
+    on = [F.col(f"_left.{c}").eqNullSafe(F.col(f"_right.{c}")) for c in (key, *[f"_{c}" for c in names])]
+    if also is not None:
+        on.append(also)
+    return keyed(left, "_left").join(keyed(right, "_right"), on, how).select(*[F.col(f"_left.{c}") for c in left.columns])
+
+
+def with_matches(games: DataFrame, others: DataFrame, key: str = "gameId") -> DataFrame:
+    return _matched(games, others, key, "left_semi", None)
+
+
+def without_matches(games: DataFrame, others: DataFrame, key: str = "gameId", also: Column | None = None) -> DataFrame:
+    """`also` may restrict the matches by columns of `_left` and `_right`."""
+    return _matched(games, others, key, "left_anti", also)
+
+
 def upsert_games(stored: DataFrame, fresh: DataFrame, key: str = "gameId") -> DataFrame:
-    """The stored log with refetched games in place of their old rows."""
-    return stored.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    """The stored log with refetched games in place of their old rows.
+
+    Games without an id are the same if their day and teams are.
+    """
+    return without_matches(stored, fresh, key).unionByName(fresh, allowMissingColumns=True)
 
 
 def replace_tail(stored: DataFrame, fresh: DataFrame, today: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyboard.operators import bracket, evaluate, history, model, outcomes, refresh, standings
 from tallyboard.session import stage
-from tallyboard.sources import readers, writers
+from tallyboard.sources import readers, store, writers
 
 
 def refresh_features(log: DataFrame, venues: DataFrame, path: str, **options) -> DataFrame:
@@ -32,6 +32,27 @@ def refresh_features(log: DataFrame, venues: DataFrame, path: str, **options) ->
     return spark.read.schema(features.schema).parquet(path)
 
 
+def refresh_features_by_content(log: DataFrame, venues: DataFrame, path: str, **options) -> DataFrame:
+    """The stored feature sets after rebuilding the seasons whose games, or the venues, have changed.
+
+    Each stored season carries the fingerprint of what it was made from, so a
+    correction in a finished season is found, and an unchanged one is never rebuilt. Seasons that
+    the log no longer has go.
+    """
+    spark = log.sparkSession
+    places = refresh.season_fingerprints(venues.withColumn("seasonName", F.lit(""))).drop("seasonName").first()
+    now = {r["seasonName"]: [*r[1:], *(places or [])] for r in refresh.season_fingerprints(log).collect()}
+    version = store.latest(spark, path)
+    have = {e["season"]: e["source"] for e in version["seasons"]} if version else {}
+    due = [s for s, found in now.items() if have.get(s) != found]
+    gone = [s for s in have if s not in now]
+    if due or gone or version is None:
+        fresh = spark.createDataFrame([(s,) for s in due], "_due string")
+        features = history.feature_set(log.join(F.broadcast(fresh), log["seasonName"].eqNullSafe(fresh["_due"]), "left_semi"), venues, **options)
+        version = store.replace_seasons(spark, path, features, due + gone, now)
+    return store.read(spark, path, version)
+
+
 def forecast_season(
     log: DataFrame,
     venues: DataFrame,

@@ -688,13 +688,28 @@ GROUP BY t.seasonName, t.teamName, t.playoffSeed""",
   awayTeamName, homeTeamName, awayTeamScore, homeTeamScore, lastPeriod FROM timed""",
         "timed",
     )
-    add(
-        "flatten_schedule",
-        """SELECT gameId, seasonName, gameType, strftime(startTimeUTC, '%Y-%m-%dT%H:%M:%SZ') AS startTimeUTC, venueTimezone,
+    flat = """SELECT gameId, seasonName, gameType, strftime(startTimeUTC, '%Y-%m-%dT%H:%M:%SZ') AS startTimeUTC, venueTimezone,
   venue, awayTeamName || ' Club' AS awayTeamName, homeTeamName || ' Club' AS homeTeamName,
-  awayTeamScore, homeTeamScore, lastPeriod FROM timed WHERE gameId % 17 <> 0""",
+  awayTeamScore, homeTeamScore, lastPeriod FROM timed WHERE gameId % 17 <> 0"""
+    add("flatten_schedule", flat, "timed")
+    add("read_schedule", flat, "timed")
+    add(
+        "load_landed",
+        flat.replace("awayTeamScore, homeTeamScore", "awayTeamScore, CASE WHEN gameDate >= DATE '2000-06-01' THEN homeTeamScore + 1 ELSE homeTeamScore END AS homeTeamScore"),
         "timed",
     )
+    add(
+        "changed_seasons",
+        "SELECT seasonName, count(*) AS rows FROM games WHERE seasonName = '19961997' GROUP BY seasonName",
+        "games",
+    )
+    add(
+        "upsert_stored",
+        """SELECT CASE WHEN gameId % 5 <> 0 THEN gameId END AS gameId, seasonName, homeTeamName,
+  CASE WHEN gameDate >= DATE '2000-06-01' THEN homeTeamScore + 1 ELSE homeTeamScore END AS homeTeamScore
+FROM (SELECT *, count(*) OVER (PARTITION BY gameDate, homeTeamName, awayTeamName) AS same FROM games WHERE gameId % 3 <> 0) WHERE same = 1""",
+        "games",
+    )
     add(
         "seed_from_sequences",
         """SELECT teamName, conferenceName, divisionName, CAST(totalPoints AS DOUBLE) AS totalPoints, playoffSeed FROM table1""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyboard.functions import dates, scoring
@@ -14,7 +14,7 @@ from tallyboard.operators import bracket, evaluate, forest, history, model, outc
 from tallyboard.plans import fixtures as fx
 from tallyboard.schemas import GAME_LOG, RAW_SCHEDULE, RAW_STANDINGS
 from tallyboard.session import shared_dir, stage
-from tallyboard.sources import league, readers, writers
+from tallyboard.sources import league, readers, store, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -489,8 +489,7 @@ def _(spark, sf):
     return games.select(*[text(c) if c == "startTimeUTC" else c for c in GAME_LOG.fieldNames()])
 
 
-@query("flatten_schedule")
-def _(spark, sf):
+def _schedule_documents(games: DataFrame) -> DataFrame:
     """The log nested like the schedule feed, one day with one game per document."""
 
     def label(value: Column) -> Column:
@@ -515,10 +514,38 @@ def _(spark, sf):
         F.when(F.col("lastPeriod").isNotNull(), F.struct(F.col("lastPeriod").alias("lastPeriodType"))).alias("gameOutcome"),
     )
     day = F.struct(F.col("gameDate").cast("string").alias("date"), F.array(game).alias("games"))
-    documents = fx.timed_games(spark, sf).select(F.to_json(F.struct(F.array(day).alias("gameWeek"))).alias("doc"))
+    return games.select(F.to_json(F.struct(F.array(day).alias("gameWeek"))).alias("doc"))
+
+
+@query("flatten_schedule")
+def _(spark, sf):
+    documents = _schedule_documents(fx.timed_games(spark, sf))
     return readers.flatten_schedule(documents.select(F.from_json("doc", RAW_SCHEDULE).alias("d")).select("d.*"))
 
 
+@query("read_schedule")
+def _(spark, sf):
+    """The same documents landed as files, one to a line."""
+    path = _fresh_folder(spark, "schedule-json")
+    _schedule_documents(fx.timed_games(spark, sf)).write.text(path)
+    return readers.read_schedule(spark, path)
+
+
+@query("load_landed")
+def _(spark, sf):
+    """Two generations of a landing folder and a broken document; the later fetch of a game counts."""
+    landing, path = _fresh_folder(spark, "landing"), _fresh_folder(spark, "store")
+    games = fx.timed_games(spark, sf)
+    _schedule_documents(games.where("gameDate < '2001-01-01'")).write.text(f"{landing}/first")
+    store.load_landed(spark, landing, path)
+    later = games.where("gameDate >= '2000-06-01'").withColumn("homeTeamScore", F.col("homeTeamScore") + 1)
+    broken = spark.createDataFrame([('{"gameWeek": [{"date"',)], "doc string")
+    _schedule_documents(later).union(broken).write.text(f"{landing}/second")
+    for _ in range(2):
+        store.load_landed(spark, landing, path)
+    return store.read(spark, path).drop(*store.FETCHED)
+
+
 @query("seed_from_sequences")
 def _(spark, sf):
     chase = F.when(F.col("playoffSeed") == "missed", 3).otherwise(F.substring("playoffSeed", -1, 1).cast("int"))
@@ -568,6 +595,36 @@ def _(spark, sf):
     return refresh.upsert_games(stored, fresh).select("gameId", "seasonName", "homeTeamScore")
 
 
+def _correction(spark, sf):
+    """The log, and the log with one more goal in one game of a finished season."""
+    games = fx.games(spark, sf)
+    one = games.where("seasonName = '19961997' AND homeTeamScore IS NOT NULL").agg(F.min("gameId")).scalar()
+    return games, games.withColumn("homeTeamScore", F.when(F.col("gameId") == one, F.col("homeTeamScore") + 1).otherwise(F.col("homeTeamScore")))
+
+
+@query("changed_seasons")
+def _(spark, sf):
+    """One corrected score makes its season due, and no other."""
+    games, corrected = _correction(spark, sf)
+    return refresh.changed_seasons(corrected, refresh.season_fingerprints(games))
+
+
+@query("upsert_stored")
+def _(spark, sf):
+    """As `upsert_games`, on storage, twice; games without an id are told apart by day and teams."""
+    path = _fresh_folder(spark, "store")
+    # The day and the two teams tell one of these games from all others.
+    games = fx.games(spark, sf).where("gameId % 3 <> 0")
+    alone = Window.partitionBy("gameDate", "homeTeamName", "awayTeamName")
+    games = games.withColumn("_same", F.count(F.lit(1)).over(alone)).where("_same = 1").drop("_same")
+    games = games.withColumn("gameId", F.when(F.col("gameId") % 5 != 0, F.col("gameId")))
+    fresh = games.where(F.col("gameDate") >= F.lit("2000-06-01").cast("date")).withColumn("homeTeamScore", F.col("homeTeamScore") + 1)
+    store.upsert(spark, path, games.where(F.col("gameDate") < F.lit("2001-01-01").cast("date")))
+    for _ in range(2):
+        store.upsert(spark, path, fresh)
+    return store.read(spark, path).select("gameId", "seasonName", "homeTeamName", "homeTeamScore")
+
+
 @query("replace_tail")
 def _(spark, sf):
     games = fx.timed_games(spark, sf)

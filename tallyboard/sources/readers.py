@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -53,15 +55,15 @@ def read_odds(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, ODDS, "csv")
 
 
-def flatten_schedule(raw: DataFrame) -> DataFrame:
+def flatten_schedule(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Game log rows from nested weekly schedules; days without games give no rows.
 
     Only regular and playoff games are kept. A game without an outcome has neither
-    scores nor a period.
+    scores nor a period. Columns of the documents named in `keep` follow their games.
     """
     games = (
-        raw.select(F.explode("gameWeek").alias("day"))
-        .select(F.explode("day.games").alias("g"))
+        raw.select(*keep, F.explode("gameWeek").alias("day"))
+        .select(*keep, F.explode("day.games").alias("g"))
         .where(F.col("g.gameType").isin(*LEAGUE_GAMES))
     )
 
@@ -83,6 +85,7 @@ def flatten_schedule(raw: DataFrame) -> DataFrame:
         score("awayTeam").alias("awayTeamScore"),
         score("homeTeam").alias("homeTeamScore"),
         F.col("g.gameOutcome.lastPeriodType").alias("lastPeriod"),
+        *keep,
     )
 
 
