@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from tallyboard.llm import ship
 
 MARK = "▁"
-#: Words and pairs that a worker remembers; beyond that it starts anew, which changes no result.
-KEPT_WORDS = 200_000
+#: Words and pairs that a worker remembers; beyond that it keeps the words of the texts at hand, which changes no result.
+KEPT_WORDS = 500_000
+KEPT_CHARS = 8_000_000
 KEPT_PAIRS = 300_000
 _SLICE = 2 << 20
 
@@ -71,6 +72,12 @@ class Pieces:
             self.spelled[i] = chr(b) if b < 0x80 else chr(0xDC00 + b)
         self.spelled[model.unk_id()] = " ⁇ "
         self.controls = frozenset(i for i in ids if model.is_control(i))
+        # The same as bytes, where the bytes of one character may be several pieces.
+        raw = [x.replace(MARK, " ").encode("utf-8", "surrogateescape") for x in self.spelled]
+        for b, i in self.byte_ids.items():
+            raw[i] = bytes([b])
+        self.raw = pa.array(raw, pa.binary())
+        self.marked = np.array([x[:1] == MARK for x in self.spelled])
         # Pieces that come out of their own text; the others end no prefix.
         alone = [p for p in self.ids if self._merge(p) == [p]]
         self.pieces = {p: p for p in alone}
@@ -81,6 +88,7 @@ class Pieces:
         self.endings = {k: sorted(v, reverse=True) for k, v in endings.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.known_chars = 0
 
     def _merge(self, text: str) -> list[str]:
         """The pieces of a short text: the best-scored neighbours merge first, the leftmost of equals."""
@@ -193,9 +201,12 @@ class Pieces:
         cut = [self.marked_words(t) for t in texts]
         known = self.known
         new = {w for words in cut for w in words if w not in known}
-        if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
-            new = {w for words in cut for w in words}
+        chars = sum(map(len, new))
+        # A word of a text without spaces may be all of it, so characters are counted as well.
+        if len(known) + len(new) > KEPT_WORDS or self.known_chars + chars > KEPT_CHARS:
+            known = self.known = {w: known[w] for words in cut for w in words if w in known}
+            self.known_chars = sum(map(len, known))
+        self.known_chars += chars
         self.walk(sorted(new))
         out = []
         for words in cut:
@@ -207,6 +218,24 @@ class Pieces:
     def forget(self) -> None:
         """Give the words' memory back; a worker may wait for long before its next task."""
         self.known = {}
+        self.known_chars = 0
+
+    def reads_as(self, encoded: list[array], texts: list[str]) -> list[bool]:
+        """Whether the ids of each row decode to its text.
+
+        The bytes of all rows' ids are taken at once; a row whose bytes aren't the text's is decoded by itself.
+        """
+        flat = np.concatenate([np.frombuffer(x, np.int32) for x in encoded if x] or [np.zeros(0, np.int32)])
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in encoded])]).astype(np.int64)
+        taken = self.raw.take(pa.array(flat))
+        places = np.frombuffer(taken.buffers()[1], np.int32)[: len(flat) + 1]
+        body = memoryview(taken.buffers()[2] or b"")
+        begins, ends = places[bounds[:-1]].tolist(), places[bounds[1:]].tolist()
+        out = []
+        for ids, text, begin, end in zip(encoded, texts, begins, ends):
+            skipped = 1 if ids and self.marked[ids[0]] else 0
+            out.append(body[begin + skipped : end] == text.encode() or self.decode(ids) == text)
+        return out
 
     def decode(self, ids) -> str:
         spelled = self.spelled
@@ -301,7 +330,11 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", into:
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_pieces, n_byte_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers) and
-    round_trip (whether the ids decode to the text) of every row."""
+    round_trip (whether the ids decode to the text) of every row.
+
+    Null and empty texts have no ids and read as empty; texts of any length are encoded whole; repeated
+    rows are rows by themselves; other columns are left alone.
+    """
     ship(docs.sparkSession)
     path = path or default_path()
 
@@ -318,7 +351,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                         pa.array([len(x) for x in encoded], pa.int64()),
                         pa.array([int(bytes_of[np.frombuffer(x, np.int32)].sum()) if x else 0 for x in encoded], pa.int64()),
                         pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in encoded]),
-                        pa.array([model.decode(x) == t for x, t in zip(encoded, texts)]),
+                        pa.array(model.reads_as(encoded, texts)),
                     ],
                     ["doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"],
                 )
