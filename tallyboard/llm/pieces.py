@@ -229,7 +229,7 @@ class Pieces:
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in encoded])]).astype(np.int64)
         taken = self.raw.take(pa.array(flat))
         places = np.frombuffer(taken.buffers()[1], np.int32)[: len(flat) + 1]
-        body = memoryview(taken.buffers()[2] or b"")
+        body = taken.buffers()[2].to_pybytes() if len(flat) else b""
         begins, ends = places[bounds[:-1]].tolist(), places[bounds[1:]].tolist()
         out = []
         for ids, text, begin, end in zip(encoded, texts, begins, ends):
@@ -355,7 +355,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                     ],
                     ["doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"],
                 )
-        model.forget()
+        # The words stay for the worker's next task; their number and length are bounded.
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
