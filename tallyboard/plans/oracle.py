@@ -698,6 +698,23 @@ GROUP BY t.seasonName, t.teamName, t.playoffSeed""",
         flat.replace("awayTeamScore, homeTeamScore", "awayTeamScore, CASE WHEN gameDate >= DATE '2000-06-01' THEN homeTeamScore + 1 ELSE homeTeamScore END AS homeTeamScore"),
         "timed",
     )
+    add(
+        "suspect_venues",
+        f"""SELECT * FROM (
+WITH v AS (
+  SELECT venue, CASE WHEN venue = 'Arena FRANCE' THEN -60.0 ELSE venue_lat END AS lat, CASE WHEN venue = 'Arena FRANCE' THEN 179.0 ELSE venue_long END AS long
+  FROM venues WHERE venue = 'Arena FRANCE' OR venue_lat IS NOT NULL AND venue_long IS NOT NULL),
+p AS (SELECT v.*, homeTeamName, awayTeamName FROM games g JOIN v ON v.venue = g.venue),
+m AS (SELECT team, median(lat) AS m_lat, median(long) AS m_long FROM (SELECT unnest([homeTeamName, awayTeamName]) AS team, lat, long FROM p) GROUP BY team),
+h AS (
+  SELECT venue, lat AS v_lat, long AS v_long, homeTeamName, row_number() OVER (PARTITION BY venue ORDER BY count(*) DESC, homeTeamName) AS r
+  FROM p GROUP BY venue, lat, long, homeTeamName),
+d AS (SELECT venue, homeTeamName, {_km('h.v_', 'm.m_')} AS km FROM h JOIN m ON m.team = h.homeTeamName WHERE r = 1),
+o AS (SELECT *, km - (SELECT median(km) FROM d) AS off FROM d)
+SELECT venue, homeTeamName, round(km, 6) AS distance_km, off > 3 * (SELECT median(abs(off)) FROM o) AS suspect FROM o)""",
+        "games",
+        "venues",
+    )
     add(
         "changed_seasons",
         "SELECT seasonName, count(*) AS rows FROM games WHERE seasonName = '19961997' GROUP BY seasonName",
@@ -837,6 +854,12 @@ FROM (SELECT gameId, CAST(gameId % 50 AS DOUBLE) / 10 AS h, CAST(gameId * 7 % 50
     add(
         "train_scores_mean",
         f"""SELECT gameId, round(h, 6) AS homeTeamScore_predicted, round(a, 6) AS awayTeamScore_predicted
+FROM games CROSS JOIN {means}""",
+        "games",
+    )
+    add(
+        "model_round_trip",
+        f"""SELECT gameId, round(h, 6) AS homeTeamScore_predicted, round(a, 6) AS awayTeamScore_predicted
 FROM games CROSS JOIN {means}""",
         "games",
     )

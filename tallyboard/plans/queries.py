@@ -14,7 +14,7 @@ from tallyboard.operators import bracket, evaluate, forest, history, model, outc
 from tallyboard.plans import fixtures as fx
 from tallyboard.schemas import GAME_LOG, RAW_SCHEDULE, RAW_STANDINGS
 from tallyboard.session import shared_dir, stage
-from tallyboard.sources import league, readers, store, writers
+from tallyboard.sources import league, models, readers, store, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -523,6 +523,27 @@ def _(spark, sf):
     return readers.flatten_schedule(documents.select(F.from_json("doc", RAW_SCHEDULE).alias("d")).select("d.*"))
 
 
+@query("suspect_venues")
+def _(spark, sf):
+    """One venue stands on the other side of the globe."""
+    venues = fx.venues(spark, sf)
+    wrong = F.col("venue") == "Arena FRANCE"
+    planted = venues.withColumns({"venue_lat": F.when(wrong, -60.0).otherwise(F.col("venue_lat")), "venue_long": F.when(wrong, 179.0).otherwise(F.col("venue_long"))})
+    out = league.suspect_venues(fx.games(spark, sf), planted, factor=3.0)
+    return rounded(out, "distance_km")
+
+
+@query("model_round_trip")
+def _(spark, sf):
+    """A forest of no depth, saved and loaded."""
+    path = _fresh_folder(spark, "models")
+    features = _features(spark, sf)
+    rows = forest.numbered(features)
+    models.save_forest(forest.grow(rows, n_trees=1, max_depth=0, bootstrap=False), features, path, "2001-03-01")
+    out = forest.predict(models.load_forest(spark, path, features), rows)
+    return rounded(out.select("gameId", "homeTeamScore_predicted", "awayTeamScore_predicted"), "homeTeamScore_predicted", "awayTeamScore_predicted")
+
+
 @query("read_schedule")
 def _(spark, sf):
     """The same documents landed as files, one to a line."""

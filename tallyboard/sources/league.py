@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyboard.functions.geo import haversine_km
 from tallyboard.schemas import TEAMS, VENUES
+from tallyboard.session import stage
 
 # Team, conference, division.
 LEAGUE = [
@@ -92,3 +94,30 @@ def resolve_venues(
             F.when(found, F.col("_long")).otherwise(F.col("_manual_long")).alias("venue_long"),
         )
     )
+
+
+def suspect_venues(games: DataFrame, venues: DataFrame, factor: float = 8.0) -> DataFrame:
+    """venue, homeTeamName, distance_km and suspect: venues too far from where their home team plays.
+
+    The distance is that to the middle of the team's games, the median latitude and longitude of all places it
+    played at. A venue is suspect if its distance is beyond the median one by more than `factor`
+    times the median deviation from it. A venue's home team is the one with most games there, of
+    equal ones the first by name; venues without coordinates or games are left out.
+    """
+    known = venues.where("venue_lat IS NOT NULL AND venue_long IS NOT NULL").select("venue", "venue_lat", "venue_long")
+    played = games.select("venue", "homeTeamName", "awayTeamName").join(known, "venue")
+    sides = played.select(F.explode(F.array("homeTeamName", "awayTeamName")).alias("_team"), "venue_lat", "venue_long")
+    middle = sides.groupBy("_team").agg(F.median("venue_lat").alias("_lat"), F.median("venue_long").alias("_long"))
+    host = played.groupBy("venue", "homeTeamName").agg(
+        F.count(F.lit(1)).alias("_games"), F.first("venue_lat").alias("venue_lat"), F.first("venue_long").alias("venue_long")
+    )
+    first = F.min_by(F.struct("homeTeamName", "venue_lat", "venue_long"), F.struct(-F.col("_games"), "homeTeamName"))
+    hosts = host.groupBy("venue").agg(first.alias("h")).select("venue", "h.*")
+    away = hosts.join(middle, F.col("homeTeamName") == F.col("_team")).select(
+        "venue", "homeTeamName", haversine_km(F.col("venue_lat"), F.col("venue_long"), F.col("_lat"), F.col("_long")).alias("distance_km")
+    )
+    # One row a venue: a small table, whose medians are scalars.
+    away = stage(away, "venue-distances")
+    usual = away.agg(F.median("distance_km")).scalar()
+    spread = away.select(F.abs(F.col("distance_km") - usual).alias("off")).agg(F.median("off")).scalar()
+    return away.withColumn("suspect", F.col("distance_km") - usual > factor * spread)
