@@ -705,7 +705,7 @@ WITH v AS (
   SELECT venue, CASE WHEN venue = 'Arena FRANCE' THEN -60.0 ELSE venue_lat END AS lat, CASE WHEN venue = 'Arena FRANCE' THEN 179.0 ELSE venue_long END AS long
   FROM venues WHERE venue = 'Arena FRANCE' OR venue_lat IS NOT NULL AND venue_long IS NOT NULL),
 p AS (SELECT v.*, homeTeamName, awayTeamName FROM games g JOIN v ON v.venue = g.venue),
-m AS (SELECT team, median(lat) AS m_lat, median(long) AS m_long FROM (SELECT unnest([homeTeamName, awayTeamName]) AS team, lat, long FROM p) GROUP BY team),
+m AS (SELECT awayTeamName AS team, median(lat) AS m_lat, median(long) AS m_long FROM p GROUP BY team),
 h AS (
   SELECT venue, lat AS v_lat, long AS v_long, homeTeamName, row_number() OVER (PARTITION BY venue ORDER BY count(*) DESC, homeTeamName) AS r
   FROM p GROUP BY venue, lat, long, homeTeamName),

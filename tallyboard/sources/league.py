@@ -97,17 +97,16 @@ def resolve_venues(
 
 
 def suspect_venues(games: DataFrame, venues: DataFrame, factor: float = 8.0) -> DataFrame:
-    """venue, homeTeamName, distance_km and suspect: venues too far from where their home team plays.
+    """venue, homeTeamName, distance_km and suspect: venues too far from where their home team travels.
 
-    The distance is that to the middle of the team's games, the median latitude and longitude of all places it
-    played at. A venue is suspect if its distance is beyond the median one by more than `factor`
+    The distance is that to the middle of the team's visits, the median latitude and longitude of its
+    away games. A venue is suspect if its distance is beyond the median one by more than `factor`
     times the median deviation from it. A venue's home team is the one with most games there, of
     equal ones the first by name; venues without coordinates or games are left out.
     """
     known = venues.where("venue_lat IS NOT NULL AND venue_long IS NOT NULL").select("venue", "venue_lat", "venue_long")
     played = games.select("venue", "homeTeamName", "awayTeamName").join(known, "venue")
-    sides = played.select(F.explode(F.array("homeTeamName", "awayTeamName")).alias("_team"), "venue_lat", "venue_long")
-    middle = sides.groupBy("_team").agg(F.median("venue_lat").alias("_lat"), F.median("venue_long").alias("_long"))
+    middle = played.groupBy(F.col("awayTeamName").alias("_team")).agg(F.median("venue_lat").alias("_lat"), F.median("venue_long").alias("_long"))
     host = played.groupBy("venue", "homeTeamName").agg(
         F.count(F.lit(1)).alias("_games"), F.first("venue_lat").alias("venue_lat"), F.first("venue_long").alias("venue_long")
     )
