@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +64,29 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_sent: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, as `--py-files` would.
+
+    Only operators that run Python in tasks need it.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _sent:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    # The driver hands it out for as long as it runs.
+    with tempfile.NamedTemporaryFile(prefix="tallyboard-", suffix=".zip", delete=False) as file:
+        target = file.name
+    atexit.register(os.unlink, target)
+    with zipfile.ZipFile(target, "w") as archive:
+        for here, _, files in os.walk(top):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(here, name)
+                    archive.write(path, os.path.join(os.path.basename(top), os.path.relpath(path, top)))
+    context.addPyFile(target)
+    _sent.add(context.applicationId)
