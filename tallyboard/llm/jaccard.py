@@ -10,7 +10,8 @@ value). A set is entered under its own band and under those that a larger partne
 Cells with too few shingles say little and are left out. So are keys that many unlike sets share, as
 happens with a common passage. A set from which so many cells are left out that agreement in one is
 no longer sure is called weak; a link is only in doubt between two weak sets, and these are joined
-once more on the rarest fifth of their shingles, the prefix that a link can't miss.
+once more on the rarest of their shingles, the prefix that a link can't miss: a fifth of the larger set's
+and a ninth of the smaller one's, by size bands and by how much may come after the shingle in either.
 
 In a group of sets with the same key each is compared with the smallest, and others of the group only
 if that leaves them apart, so that a group of many copies makes one pair for each of them. Before the
@@ -21,6 +22,8 @@ Sets, texts and shingles are told apart by 64-bit hashes; a set's words are read
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,6 +40,9 @@ SHINGLE = 5
 SMALL_GROUP = 16
 _SKETCH = 512
 _RATIO = 1.4
+#: Size bands of the weak sets: each begins so many times higher than the last.
+_BAND = 1.12
+_GROUP = ["key", "band"]
 
 #: Sizes from which a band begins; sets under four shingles link with equal sets only.
 _LOW = [4]
@@ -330,13 +336,14 @@ class _Links:
             self.compare(pairs)
 
 
-def _in_groups(rows: DataFrame, links: _Links) -> DataFrame:
-    """key, node, comp of the keys of `rows` (key, node) with sets in several components, and `n` sets."""
-    labelled = rows.join(links.comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    sizes = labelled.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")
+def _in_groups(rows: DataFrame, links: _Links, group: Sequence[str] = ("key",)) -> DataFrame:
+    """`rows` (node and the columns of `group`) with their component `comp`, of the groups that have sets of
+    several components, and `n_in`, the rows of the group."""
+    labelled = rows.join(links.comps, "node", "left").select(*rows.columns, F.coalesce("comp", "node").alias("comp"))
+    sizes = labelled.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_in"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")
     )
-    return labelled.join(sizes.where("_lo != _hi").select("key", "n"), "key")
+    return labelled.join(sizes.where("_lo != _hi").select(*group, "n_in"), list(group))
 
 
 def _across(groups: DataFrame) -> DataFrame:
@@ -353,8 +360,9 @@ def _open_rows(led: DataFrame, failed: DataFrame) -> DataFrame:
     return rows.select("key", "node").union(rows.select("key", F.col("leader").alias("node"))).distinct()
 
 
-def _weak_prefixes(docs: DataFrame, weak: DataFrame) -> DataFrame:
-    """key, node: the rarest shingles of the weak sets, one more than a link can do without."""
+def _shared_shingles(docs: DataFrame, weak: DataFrame) -> DataFrame:
+    """key, node, n, place of every shingle that several weak sets have: place counts from 1 in the order of
+    rarity that all sets have in common, n is the size of the set."""
 
     def spread(batches):
         for batch in batches:
@@ -362,15 +370,49 @@ def _weak_prefixes(docs: DataFrame, weak: DataFrame) -> DataFrame:
                 sets = Sets(data, offsets)
                 node = np.asarray(batch.column(0))[lo + sets.owner]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sets.tokens.view(np.int64)), pa.array(node), pa.array(sets.sizes[sets.owner])], ["key", "node", "size"]
+                    [pa.array(sets.tokens.view(np.int64)), pa.array(node), pa.array(sets.sizes[sets.owner])], ["key", "node", "n"]
                 )
 
-    tokens = stage(texts_of(docs, weak).mapInArrow(spread, "key long, node long, size long"), "weak")
+    tokens = stage(texts_of(docs, weak).mapInArrow(spread, "key long, node long, n long"), "weak")
     seen = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    # What one set alone has comes before the rest, so that it counts without being sorted.
+    shared = tokens.join(seen, "key")
     rarest = Window.partitionBy("node").orderBy("seen", "key")
-    placed = tokens.join(seen, "key", "left").withColumn("seen", F.coalesce("seen", F.lit(1)))
-    placed = placed.withColumn("place", F.row_number().over(rarest))
-    return placed.where("place <= size - (4 * size + 4) DIV 5 + 1 AND seen > 1").select("key", "node")
+    all_of = Window.partitionBy("node")
+    place = F.col("n") - F.count(F.lit(1)).over(all_of) + F.row_number().over(rarest)
+    return shared.select("key", "node", "n", place.alias("place"))
+
+
+def _entered(shingles: DataFrame) -> DataFrame:
+    """key, band, larger, node, n, place: sets under those of their shingles at which a partner can be met.
+
+    A pair is met in the size band of its smaller set. There the smaller one has `larger` false; the larger
+    one is entered in each band in which a smaller partner may be. At the first shingle that both have, in
+    order, they have no more in common than comes from there on in either, which bounds its place.
+    """
+    band = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(_BAND)))
+    left = F.col("n") - F.col("place") + 1
+    small = shingles.where(9 * left >= 8 * F.col("n")).select("key", band(F.col("n")).alias("band"), F.lit(False).alias("larger"), "node", "n", "place")
+    bands = F.sequence(band(F.col("n") - F.floor(F.col("n") / 5)), band(F.col("n")))
+    large = shingles.where(5 * left >= 4 * F.col("n")).select("key", F.explode(bands).alias("band"), F.lit(True).alias("larger"), "node", "n", "place")
+    # One less than the band begins with, as its bounds are rounded.
+    least = F.floor(F.pow(F.lit(_BAND), F.col("band"))) - 1
+    large = large.where(9 * left >= 4 * (F.col("n") + least))
+    return small.unionByName(large)
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a smaller and a larger set of a group, in different components, that sizes
+    and places don't rule out."""
+    side = lambda rows, i: rows.select(*_GROUP, *[F.col(c).alias(f"{c}_{i}") for c in ("larger", "node", "n", "place", "comp")])
+    return (
+        side(left, 1)
+        .join(side(right, 2), _GROUP)
+        .where("larger_1 != larger_2 AND comp_1 != comp_2 AND IF(larger_1, n_1 >= n_2, n_2 >= n_1)")
+        .where("9 * (1 + least(n_1 - place_1, n_2 - place_2)) >= 4 * (n_1 + n_2)")
+        .select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b"))
+        .distinct()
+    )
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -420,30 +462,26 @@ def grouped(docs: DataFrame) -> DataFrame:
     weak = sets.where("slack < 0")
     if not failed.isEmpty():
         groups = stage(_in_groups(_open_rows(led, failed), links), "groups")
-        small = _across(groups.where(F.col("n") <= SMALL_GROUP))
+        small = _across(groups.where(F.col("n_in") <= SMALL_GROUP))
         small = stage(small.join(pairs, ["a", "b"], "left_anti"), "small")
         if not small.isEmpty():
             links.try_out(small)
-        hot = groups.where(F.col("n") > SMALL_GROUP).groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
+        hot = groups.where(F.col("n_in") > SMALL_GROUP).groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
         weak = sets.join(hot, "node", "left").where(F.col("slack") < F.coalesce("hot", F.lit(0)))
 
     # Between weak sets nothing is sure yet.
     weak = stage(weak.where("n_shingles >= 4").select("node", "text_key"), "weak_sets")
-    rows = stage(_weak_prefixes(docs, weak), "weak_keys")
-    pairs = stage(links.apart(_led(rows).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()), "weak_pairs")
-    if not pairs.isEmpty():
-        links.try_out(pairs)
-    # Then what still stands apart in a group, from ever more of its sets.
-    before, leaders = 0, 16
+    shingles = stage(_shared_shingles(docs, weak), "weak_shingles")
+    entered = stage(_entered(shingles), "weak_keys")
+    # In each group the smallest hash is compared first, then what still stands apart with ever more sets.
+    before, leaders = 0, 1
     while True:
-        order = Window.partitionBy("key").orderBy("node")
-        groups = _in_groups(rows, links).withColumn("place", F.row_number().over(order))
-        groups = stage(groups.where(f"place > {before}"), "weak_groups")
+        groups = stage(_in_groups(entered, links, _GROUP), "weak_groups")
+        order = Window.partitionBy(*_GROUP).orderBy("node")
+        groups = groups.withColumn("rank", F.dense_rank().over(order)).where(f"rank > {before}")
         if groups.isEmpty():
             break
-        left = groups.where(f"place <= {leaders}").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-        right = groups.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-        links.try_out(left.join(right, "key").where("a < b AND comp_a != comp_b").select("a", "b").distinct())
+        links.try_out(_met(groups.where(f"rank <= {leaders}"), groups))
         before, leaders = leaders, leaders * 16
 
     comp = every.join(links.comps, "node", "left").select(

@@ -390,6 +390,22 @@ def test_near_copies(spark, awkward):
     assert jaccard.near_copies(awkward.limit(0)).count() == 0
 
 
+def test_near_copies_that_are_little_but_a_passage(spark):
+    # Passages of several lengths with endings about as long as a link allows, so that links depend on both sizes.
+    rng, rows = random.Random(8), []
+    passages = [prose(900 + i, n).split() for i, n in enumerate((40, 90, 200))]
+    for i in range(210):
+        words = list(passages[i % 3])
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            words[rng.randrange(len(words))] = "other"
+        ending = prose(2000 + i, max(1, round(len(words) * rng.choice([0.02, 0.08, 0.11, 0.13, 0.2, 0.24])))).split()
+        rows.append((i, " ".join(ending + words if i % 2 else words + ending)))
+    got = jaccard.near_copies(docs(spark, rows)).collect()
+    plain = plain_components(rows)
+    assert 10 < len({g for _, _, g in plain}) < 200
+    assert Counter(map(tuple, got)) == plain
+
+
 def test_near_copies_with_repeated_shared_and_null_ids(spark):
     # All share a passage, so that their links are settled by the rarest shingles.
     boiler, rng, rows = prose(99, 80), random.Random(7), []
