@@ -255,6 +255,47 @@ def test_passages_with_changes_all_over(spark):
     assert all(hit[:60]) and sum(hit[60:]) >= 18
 
 
+def test_passages_whose_seeds_are_common(spark):
+    # Every run of four words stands in many other documents too, none of which has a longer one.
+    rng, rows, sides = random.Random(21), [], {}
+    for case, others in enumerate([0, 1, 5, 20, 100] * 4):
+        passage = prose(4000 + case, 50 + case).split()
+        for _ in range(2):
+            start = rng.choice([0, 30])
+            sides[len(rows)] = set(range(start, start + len(passage)))
+            rows.append((len(rows), " ".join(prose(rng.random(), 30).split()[:start] + passage + prose(rng.random(), 30).split())))
+        seeds = [passage[i : i + passages.K] for i in range(len(passage) - passages.K + 1)]
+        for _ in range(others):
+            rng.shuffle(seeds)
+            rows.append((len(rows), " ".join(" ".join([*seed, prose(rng.random(), 1)]) for seed in seeds)))
+    found = places(passages.repeated_passages(docs(spark, rows)).collect())
+    assert all(span <= found.get(i, set()) for i, span in sides.items())
+
+
+def test_long_seeds_in_every_run():
+    import numpy as np
+
+    for seed in range(20):
+        hashes = np.random.default_rng(seed).integers(0, 50 if seed % 2 else 1 << 60, 300).astype(np.uint64)
+        taken = passages._winnowed(hashes)
+        assert np.diff(np.concatenate([[-1], taken, [300]])).max() <= passages.WINDOW
+        plain = {i + min(range(passages.WINDOW), key=lambda j: hashes[i + j]) for i in range(300 - passages.WINDOW + 1)}
+        assert taken.tolist() == sorted(plain)
+
+
+def test_seeds_packed_and_back():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    keys, ids = (rng.integers(0, 1 << 63, 500).astype(np.uint64) for _ in range(2))
+    at = rng.integers(0, 1 << 31, 500)
+    got = passages._packed(keys, ids.view(np.int64), at, 8)
+    rows = np.concatenate([passages._unpacked(b) for b in got.column(1).to_pylist()])
+    low = np.uint64((1 << 40) - 1)
+    want = zip((keys & low).tolist(), (ids & low).tolist(), at.tolist(), (keys & np.uint64(1)).astype(bool).tolist())
+    assert sorted(rows.tolist()) == sorted(want)
+
+
 def test_leaks(spark, awkward):
     item = " ".join(prose(21, 25).split())
     bench = spark.createDataFrame(
