@@ -727,10 +727,17 @@ SELECT venue, homeTeamName, round(km, 6) AS distance_km, off > 3 * (SELECT media
 FROM (SELECT *, count(*) OVER (PARTITION BY gameDate, homeTeamName, awayTeamName) AS same FROM games WHERE gameId % 3 <> 0) WHERE same = 1""",
         "games",
     )
+    for name in ("seed_from_sequences", "read_standings"):
+        add(
+            name,
+            """SELECT teamName, conferenceName, divisionName, CAST(totalPoints AS DOUBLE) AS totalPoints, playoffSeed FROM table1""",
+            "table1",
+        )
     add(
-        "seed_from_sequences",
-        """SELECT teamName, conferenceName, divisionName, CAST(totalPoints AS DOUBLE) AS totalPoints, playoffSeed FROM table1""",
-        "table1",
+        "season_label",
+        """SELECT concat(CAST(y AS VARCHAR), CAST(y + 1 AS VARCHAR)) AS season, count(*) AS games
+FROM (SELECT year(gameDate) - CASE WHEN month(gameDate) <= 6 THEN 1 ELSE 0 END AS y FROM games) GROUP BY y""",
+        "games",
     )
     add("team_dim", "SELECT teamName, conferenceName, divisionName FROM teams", "teams")
     add(

@@ -567,8 +567,7 @@ def _(spark, sf):
     return store.read(spark, path).drop(*store.FETCHED)
 
 
-@query("seed_from_sequences")
-def _(spark, sf):
+def _standings_documents(spark, sf) -> DataFrame:
     chase = F.when(F.col("playoffSeed") == "missed", 3).otherwise(F.substring("playoffSeed", -1, 1).cast("int"))
     team = F.struct(
         F.struct(F.col("teamName").alias("default")).alias("teamName"),
@@ -578,11 +577,30 @@ def _(spark, sf):
         F.when(F.col("divisionSeed") <= 3, 0).otherwise(chase).alias("wildcardSequence"),
         F.col("divisionSeed").alias("divisionSequence"),
     )
-    documents = _table(spark, sf).select(F.to_json(F.struct(F.array(team).alias("standings"))).alias("doc"))
-    raw = documents.select(F.from_json("doc", RAW_STANDINGS).alias("d")).select("d.*")
+    return _table(spark, sf).select(F.to_json(F.struct(F.array(team).alias("standings"))).alias("doc"))
+
+
+@query("seed_from_sequences")
+def _(spark, sf):
+    raw = _standings_documents(spark, sf).select(F.from_json("doc", RAW_STANDINGS).alias("d")).select("d.*")
     return readers.flatten_standings(raw)
 
 
+@query("read_standings")
+def _(spark, sf):
+    """The same documents landed as files, one to a line."""
+    path = _fresh_folder(spark, "standings-json")
+    _standings_documents(spark, sf).write.text(path)
+    return readers.read_standings(spark, path)
+
+
+@query("season_label")
+def _(spark, sf):
+    """Games by the label of the season that begins in their year, or the year before until June."""
+    first_year = F.year("gameDate") - F.when(F.month("gameDate") <= 6, 1).otherwise(0)
+    return fx.games(spark, sf).groupBy(dates.season_label(first_year).alias("season")).agg(F.count(F.lit(1)).alias("games"))
+
+
 @query("team_dim")
 def _(spark, sf):
     raw = fx.teams(spark, sf).select(
