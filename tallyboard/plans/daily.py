@@ -82,6 +82,31 @@ def playoff_picture(
     return table, bracket.bracket_results(pairs, state, scenario)
 
 
+def scenario_probabilities(
+    games: DataFrame, teams: DataFrame, wins_needed: int = 4, scenario: str = "iteration"
+) -> tuple[DataFrame, DataFrame]:
+    """From whole logs of many scenarios to outcome percentages by season and team, and the brackets of all
+    four rounds behind them.
+
+    All scenarios go through standings, pairs and rounds together, keyed by scenario and season. A series
+    that its log doesn't decide has no winner, and the place in the next round stays empty.
+    """
+    table = stage(standings.standings(games, teams, scenario), "table")
+    state = stage(bracket.series_state(games, wins_needed, scenario), "state")
+    pairs, rounds = bracket.first_round(table, scenario), []
+    for number in (2, 3, 4, None):
+        # A round has at most eight rows of a scenario's season; the next one reads it and so does the tally.
+        rounds.append(stage(bracket.bracket_results(pairs, state, scenario), "round"))
+        if number:
+            pairs = bracket.next_round(rounds[-1], number, scenario)
+    columns = [scenario, "seasonName", "round", "slot", "team1", "team2", "team1Wins", "team2Wins", "decided", "winner"]
+    results = rounds[0].select(*columns)
+    for other in rounds[1:]:
+        results = results.unionByName(other.select(*columns))
+    reached = outcomes.scenario_outcomes(table, results, scenario)
+    return outcomes.outcome_probabilities(reached, by=["seasonName"], scenario=scenario), results
+
+
 def evaluate_snapshots(
     snapshots: DataFrame, actual: DataFrame, odds: DataFrame, since: str, until: str
 ) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyboard.operators import forest
+from tallyboard.operators.outcomes import SEEDS, STAGES
 
 VIEWS = {
     "games": """
@@ -462,6 +463,30 @@ FROM ({carried}) a JOIN ({carried}) b ON b.seasonName = a.seasonName AND a.slot
         "round1",
         "series",
     )
+    # Whole scenarios: the season's name has the scenario in front, so all views keep them apart.
+    swap = "i > 0 AND gameId % 4 = i"
+    logs = f"""SELECT * REPLACE (concat(i, ':', seasonName) AS seasonName, CASE WHEN {swap} THEN awayTeamScore ELSE homeTeamScore END AS homeTeamScore,
+  CASE WHEN {swap} THEN homeTeamScore ELSE awayTeamScore END AS awayTeamScore)
+FROM ({VIEWS["games"]}) CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS i)"""
+    chain = f", r1 AS MATERIALIZED ({results})"
+    for n in (2, 3, 4):
+        chain += f""", b{n} AS MATERIALIZED (SELECT a.seasonName, {n} AS round, CAST(a.slot / 2 AS INT) AS slot, a.winner AS team1, b.winner AS team2
+  FROM r{n - 1} a JOIN r{n - 1} b ON b.seasonName = a.seasonName AND b.slot = a.slot + 1 AND a.slot % 2 = 0),
+r{n} AS MATERIALIZED ({results.replace("FROM round1 b", f"FROM b{n} b")})"""
+    rows = "seasonName, round, slot, team1, team2, team1Wins, team2Wins, decided, winner"
+    chain += ", every AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {rows} FROM r{n}" for n in (1, 2, 3, 4)) + ")"
+    run = "CAST(split_part(seasonName, ':', 1) AS INT) AS iteration, split_part(seasonName, ':', 2) AS seasonName"
+    reached = f"""SELECT {run.replace("seasonName,", "t.seasonName,").replace("(seasonName", "(t.seasonName")}, teamName, playoffSeed, coalesce(k, 0) AS k FROM table1 t
+LEFT JOIN (SELECT seasonName, winner, count(*) AS k FROM every WHERE winner IS NOT NULL GROUP BY ALL) w ON w.seasonName = t.seasonName AND w.winner = t.teamName"""
+    tallies = [*[f"count(*) FILTER (playoffSeed = '{x}') AS {x}" for x in SEEDS], *[f"count(*) FILTER (k >= {k}) AS {x}" for k, x in STAGES.items()]]
+    shares = [f"round(count(*) FILTER (k >= {k}) / 4.0 * 100, 6) AS {x}_share" for k, x in STAGES.items()]
+    shares.append("round(count(*) FILTER (playoffSeed <> 'missed') / 4.0 * 100, 6) AS playoff_share")
+    for name, body in (
+        ("scenario_probabilities", f"SELECT seasonName, teamName, {', '.join([*tallies, *shares])} FROM ({reached}) GROUP BY seasonName, teamName"),
+        ("scenario_brackets", f"SELECT {run}, {rows.split(', ', 1)[1]} FROM every"),
+    ):
+        views = with_views("", "table1", "round1", "series").rstrip()
+        sql[name] = views.replace(VIEWS["games"], logs) + chain + "\n" + body
     pairs = """SELECT gameId % 20 AS iteration, seasonName, homeTeamName, awayTeamName,
   min(CAST(gameDate AS VARCHAR) || lpad(CAST(gameTimeEST AS VARCHAR), 5, '0') || lpad(CAST(gameId AS VARCHAR), 20, '0')) AS seen
 FROM games WHERE gameType = 3 GROUP BY ALL"""

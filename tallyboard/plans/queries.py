@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyboard.functions import dates, scoring
 from tallyboard.functions.geo import haversine_km
 from tallyboard.operators import bracket, evaluate, forest, history, model, outcomes, refresh, standings, timeline
+from tallyboard.plans import daily
 from tallyboard.plans import fixtures as fx
 from tallyboard.schemas import GAME_LOG, RAW_SCHEDULE, RAW_STANDINGS
 from tallyboard.session import shared_dir, stage
@@ -428,6 +429,30 @@ def outcome_probabilities_query(spark, sf):
     return _percentages(outcomes.outcome_probabilities(fx.outcomes(spark, sf)))
 
 
+def _scenario_logs(spark, sf):
+    """The log four times over; in each but the first the sides of other games change scores."""
+    games = fx.games(spark, sf).withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    swap = (F.col("iteration") > 0) & (F.col("gameId") % 4 == F.col("iteration"))
+    home, away = F.col("homeTeamScore"), F.col("awayTeamScore")
+    return games.withColumns(
+        {"homeTeamScore": F.when(swap, away).otherwise(home), "awayTeamScore": F.when(swap, home).otherwise(away)}
+    )
+
+
+@query("scenario_probabilities")
+def _(spark, sf):
+    """From the games of four scenarios over all rounds to how often a team gets how far."""
+    out, _ = daily.scenario_probabilities(_scenario_logs(spark, sf), fx.teams(spark, sf), WINS_NEEDED)
+    shares = {c: F.round(f"{c}_%", 6).alias(f"{c}_share") for c in ("playoff", *outcomes.STAGES.values())}
+    return out.select("seasonName", "teamName", *outcomes.SEEDS, *outcomes.STAGES.values(), *shares.values())
+
+
+@query("scenario_brackets")
+def _(spark, sf):
+    """The brackets of all rounds of the same scenarios."""
+    return daily.scenario_probabilities(_scenario_logs(spark, sf), fx.teams(spark, sf), WINS_NEEDED)[1]
+
+
 @query("probability_report")
 def _(spark, sf):
     table = outcomes.outcome_probabilities(fx.outcomes(spark, sf), fx.teams(spark, sf))
