@@ -217,3 +217,42 @@ def test_permutation(spark):
 
     row = forest.permutation_importance(nodes, rows, names, ["b"]).first()
     assert math.isclose(row.mse, mse(moved)) and math.isclose(row.increase, mse(moved) - mse(before)) and row.increase > 0
+
+
+def test_a_subtree_sorts_each_feature_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, width = 3000, 6
+    x, y = rng.integers(0, 500, (n, width)).astype(float), rng.integers(0, 7, (n, 2)).astype(float)
+    sorted_rows, argsort = [], np.argsort
+
+    def counted(a, *args, **kwargs):
+        sorted_rows.append(len(a))
+        return argsort(a, *args, **kwargs)
+
+    monkeypatch.setattr(np, "argsort", counted)
+    grown = forest.grow_rows(x, y, np.ones(n), None)
+    # Besides that, the nodes of a level are put in order.
+    assert sum(sorted_rows) <= n * width + len(grown["feature"])
+
+
+def test_rows_come_to_wanted_nodes():
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 9, (300, 3)).astype(float), rng.integers(0, 5, (300, 2)).astype(float)
+    nodes = forest.grow_rows(x, y, np.ones(300), 4)
+    ends = forest.walk(nodes, x)
+    found = dict(forest.reached(nodes, x.T.copy(), np.arange(300), nodes["feature"] < 0))
+    assert sorted(found) == np.unique(ends).tolist()
+    assert all((ends[rows] == node).all() for node, rows in found.items()) and sum(map(len, found.values())) == 300
+
+
+def test_targets_that_are_no_whole_numbers(spark):
+    log = games(spark, [(*r[:5], None if r[5] is None else r[5] + 0.3, None if r[6] is None else r[6] / 7) for r in made(300, seed=9)])
+    rows = forest.numbered(log).repartition(4)
+    trees = plain_forest(rows.collect(), 3, 42, None)
+    nodes = forest.grow(rows, n_trees=3, local_rows=50, bins=1000)
+    known = rows.where("_y IS NOT NULL")
+    for sent in (10**6, 0):
+        for r in forest.predict(nodes, known, sent_nodes=sent).collect():
+            assert math.isclose(r["homeTeamScore_predicted"], np.mean([t(r["_x"]) for t in trees], axis=0)[0]) or any(
+                forest.weights_of(np.array([r["_key"]]), t, 42)[0] == 0 for t in range(3)
+            )
