@@ -256,3 +256,28 @@ def test_targets_that_are_no_whole_numbers(spark):
             assert math.isclose(r["homeTeamScore_predicted"], np.mean([t(r["_x"]) for t in trees], axis=0)[0]) or any(
                 forest.weights_of(np.array([r["_key"]]), t, 42)[0] == 0 for t in range(3)
             )
+
+
+def test_nodes_at_the_last_depth_need_no_bins(spark, monkeypatch):
+    rows = forest.numbered(games(spark, made(200, seed=4)))
+    whole = forest.grow(rows, n_trees=3, max_depth=0).select("tree", "feature", "weight", "value").where("feature = -1")
+
+    def none(*args):
+        raise AssertionError("bins of a forest without depth")
+
+    monkeypatch.setattr(forest, "bin_edges", none)
+    top = forest.grow(rows, n_trees=3, max_depth=0, local_rows=10)
+    assert top.count() == 3
+    assert sorted(top.select("tree", "feature", "weight", "value").collect()) == sorted(whole.collect())
+
+
+def test_out_of_bag_votes_are_stored_without_features(spark, monkeypatch):
+    stored, stage = {}, forest.stage
+
+    def noted(df, label):
+        stored[label] = df.columns
+        return stage(df, label)
+
+    monkeypatch.setattr(forest, "stage", noted)
+    forest.oob_metrics(games(spark, made(60)), n_trees=3).first()
+    assert set(stored["oob"]) == {*model.TARGETS, *[f"{t}_predicted" for t in model.TARGETS], "votes"}

@@ -116,3 +116,18 @@ def test_evaluation_run(spark):
 def test_outcome_run(spark):
     table, rings = daily.outcome_report(fx.outcomes(spark, SF), fx.teams(spark, SF))
     assert table.count() == 20 and rings.count() == 20 * len(outcomes.RINGS)
+
+
+def test_runs_share_what_is_made_of_the_features(spark, features, monkeypatch):
+    fits, fit = [], model.Pipeline.fit
+
+    def counted(self, *args):
+        fits.append(len(self.getStages()))
+        return fit(self, *args)
+
+    monkeypatch.setattr(model.Pipeline, "fit", counted)
+    season = features.where("homeTeamScore IS NOT NULL").first()["seasonName"]
+    every = model.holdout_metrics(features, season, runs=2, seed=5, n_trees=2, max_depth=2).first()
+    assert len(fits) == 1
+    one, two = (model.holdout_metrics(features, season, seed=s, n_trees=2, max_depth=2).first() for s in (5, 6))
+    assert every["games"] == one["games"] and abs(every["mse"] - (one["mse"] + two["mse"]) / 2) < 1e-9
