@@ -239,6 +239,22 @@ def test_passages_at_several_places(spark):
     assert 4 not in found
 
 
+def test_excerpts_of_a_popular_document_come_in_parts(monkeypatch):
+    monkeypatch.setattr(passages, "CUT", 4000)
+    monkeypatch.setattr(passages, "FLUSH", 50)
+    texts = [prose(77, 400), None, prose(78, 30)]
+    spans = [[{"lo": lo, "hi": hi} for lo in range(0, 400, 32) for hi in range(lo + 32, 416, 32)], [{"lo": 0, "hi": 9}], [{"lo": 0, "hi": 64}]]
+    given = passages.pa.table({"doc": [5, 6, 7], "text": texts, "spans": spans}).to_batches()
+    got = list(passages._cut(given))
+    rows = [r for batch in got for r in batch.to_pylist()]
+    want = [(d, s["lo"], s["hi"], " ".join(lowered(t).split()[s["lo"] : s["hi"]])) for d, t, some in zip((5, 6, 7), texts, spans) for s in some]
+    assert [tuple(r.values()) for r in rows] == want
+    assert len(got) > 10 and max(sum(len(w) for w in batch.column(3).to_pylist()) for batch in got) < 4000 + 400 * 8
+    seeds = passages.np.zeros(120, dtype=passages._SEED)
+    seeds["doc"] = range(120)
+    assert [b.num_rows for b in passages._sliced(passages._to_first(seeds))] == [50, 50, 19]
+
+
 def test_passages_with_changes_all_over(spark):
     rng = random.Random(90)
     made = lambda n: ["".join(rng.choices("abcdefghijklmnopqrst", k=8)) for _ in range(n)]
