@@ -255,6 +255,31 @@ def test_excerpts_of_a_popular_document_come_in_parts(monkeypatch):
     assert [b.num_rows for b in passages._sliced(passages._to_first(seeds))] == [50, 50, 19]
 
 
+def test_chains_side_by_side_are_one_row(spark):
+    # A line that a document has 60 times makes 60 chains with each copy, which need the same words.
+    line = " ".join(prose(700, 40).split()[:20])
+    texts = [(i, " ".join([line] * 60 + prose(701 + i, 30).split())) for i in range(6)]
+    frame = docs(spark, texts).selectExpr("doc_id", "text", "xxhash64(doc_id, text) AS doc")
+    pairs = passages.matched(passages.seeds(frame, 8))
+    assert pairs.where("size(matches) < 4 AND NOT exists(matches, m -> m % 2 = 1)").count() == 0
+    rows = passages.chained(pairs).collect()
+    chains = sum(len(r.ends) for r in rows)
+    assert chains >= 5 * 60 and len(rows) <= chains / 10
+    for r in rows:
+        assert r.ends[-1] == len(r.xs) == len(r.ys) and max(r.a_hi - r.a_lo, r.b_hi - r.b_lo) <= passages.SPAN
+        assert r.a_lo <= min(r.xs) and max(r.xs) < r.a_hi and r.b_lo <= min(r.ys) and max(r.ys) < r.b_hi
+    links = passages._whole(passages.chained(pairs), frame)
+    wanted = links.selectExpr("a AS doc", "a_lo AS lo", "a_hi AS hi").union(links.selectExpr("b", "b_lo", "b_hi"))
+    assert passages.aligned(links, passages.excerpts(frame, wanted), 0.8, 3).count() <= 2 * len(rows)
+    found = places(passages.repeated_passages(docs(spark, texts)).collect())
+    assert all(set(range(1200)) <= found[i] for i, _ in texts)
+
+
+def test_pieces_are_joined_as_the_runs_are():
+    assert passages._joined([(9, 20), (0, 5), (8, 12), (24, 30)], 3) == [(0, 20), (24, 30)]
+    assert passages._joined([(9, 20), (0, 5), (23, 30)], 3) == [(0, 5), (9, 30)] and passages._joined([], 3) == []
+
+
 def test_passages_with_changes_all_over(spark):
     rng = random.Random(90)
     made = lambda n: ["".join(rng.choices("abcdefghijklmnopqrst", k=8)) for _ in range(n)]
