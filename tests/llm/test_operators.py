@@ -313,6 +313,104 @@ def test_passages_whose_seeds_are_common(spark):
     assert all(span <= found.get(i, set()) for i, span in sides.items())
 
 
+def test_changed_passages_whose_seeds_are_common(spark):
+    # Every run of four words of both copies stands in other documents as well, each between unlike words.
+    rng, rows, sides = random.Random(5), [], {}
+    made = lambda n: ["".join(rng.choices("abcdefghijklmnopqrst", k=8)) for _ in range(n)]
+    for others in (0, 3, 5, 12, 40):
+        for step in (5, 6, 8, 10):
+            one = made(50)
+            two = list(one)
+            for i in range(step - 1, 49, step):
+                two[i] = made(1)[0]
+            if step == 8:
+                del two[30]  # the other way the places of the rest are shifted
+                two.insert(20, made(1)[0])
+            for passage in (one, two):
+                sides[len(rows)] = set(range(60, 110))
+                rows.append((len(rows), " ".join(made(60) + passage + made(60))))
+            seeds = [words[i : i + passages.K] for words in (one, two) for i in range(len(words) - passages.K + 1)]
+            for _ in range(others):
+                rng.shuffle(seeds)
+                rows.append((len(rows), " ".join(" ".join(seed + made(5)) for seed in seeds)))
+    found = places(passages.repeated_passages(docs(spark, rows)).collect())
+    assert all(span <= found.get(i, set()) for i, span in sides.items())
+    assert set(found) == set(sides)
+
+
+def test_seeds_with_few_occurrences_have_all_matches(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(passages, "COMMON", 6)
+    rng = random.Random(8)
+    for _ in range(60):
+        seeds = np.zeros(rng.randint(1, 60), dtype=passages._SEED)
+        for name, most in (("key", 8), ("doc", 6), ("at", 5)):
+            seeds[name] = [2 * rng.randrange(most) if name == "key" else rng.randrange(most) for _ in seeds]
+        rows = set(map(tuple, seeds.tolist()))
+        got = [t for b in (passages._to_first(seeds), *passages._to_others(seeds)) for t in zip(*b.to_pydict().values())]
+        of = lambda key: [(d, at) for k, d, at, _ in rows if k == key]
+        few = [of(k) for k in {r[0] for r in rows} if len(of(k)) <= 6]
+        want = sorted((a, b, x << 32 | y << 1) for group in few for a, x in group for b, y in group if a < b)
+        common = sorted((d, d, at << 32 | len(of(k))) for k, d, at, _ in rows if len(of(k)) > 6)
+        assert sorted(t for t in got if t[0] == t[1]) == common
+        # Of the common ones there are the matches with the first as well.
+        left = list(got)
+        for t in want:
+            left.remove(t)
+        assert len(left) - len(common) <= sum(len(of(k)) for k in {r[0] for r in rows} if len(of(k)) > 6)
+
+
+def test_windows_around_a_common_seed():
+    import numpy as np
+
+    def subsequence(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y and x else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng, words, need = random.Random(3), 12, 9
+    side, shift = words - passages.K, words - need
+    for trial in range(30):
+        base = [rng.randrange(1, 40) for _ in range(2 * (side + shift) + passages.K)]
+        rows = []
+        for _ in range(12):
+            row = list(base) if rng.random() < 0.7 else [rng.randrange(1, 40) for _ in base]
+            for _ in range(rng.randrange(8)):
+                i = rng.randrange(len(row))
+                row[i] = rng.randrange(1, 400)
+                if rng.random() < 0.4:
+                    row.insert(rng.randrange(len(row)), row.pop(i))
+            row[side + shift : side + shift + passages.K] = [501, 502, 503, 504]
+            rows.append(row)
+        doc, at = np.arange(12) // 2, np.arange(12) * 1000 + 500
+        wanted = np.full(12, (1 << side + 1) - 1)
+        wanted[3] = 0
+        met = passages._Near(doc, at, wanted, np.array(rows, dtype="<u2"), words, need)
+        ties = set()
+        for a, b, xy in met.matches():
+            assert a < b and len(xy)
+            x, y = at[(xy[0] >> 32) // 1000], at[(xy[0] & 0xFFFFFFFF) // 2 // 1000]
+            ties |= {(x // 1000, y // 1000), (y // 1000, x // 1000)}
+        for i in range(12):
+            for t in range(side + 1) if wanted[i] else []:
+                begin = shift + t
+                mine = rows[i][begin : begin + words]
+                good = set()
+                for j in range(12):
+                    if doc[i] != doc[j]:
+                        left, right = rows[i][begin : side + shift], rows[i][side + shift + passages.K : begin + words]
+                        for n in range(shift + side + 1):
+                            other = rows[j][side + shift - n : side + shift]
+                            after = rows[j][side + shift + passages.K : side + shift + words - n] if words - n > passages.K else []
+                            if subsequence(left[::-1], other[::-1]) + subsequence(right, after) + passages.K >= need and len(other) + len(after) <= side:
+                                good.add(j)
+                assert not good or any((i, j) in ties for j in good), (trial, i, t, mine)
+
+
 def test_long_seeds_in_every_run():
     import numpy as np
 
