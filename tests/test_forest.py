@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +282,61 @@ def test_out_of_bag_votes_are_stored_without_features(spark, monkeypatch):
     monkeypatch.setattr(forest, "stage", noted)
     forest.oob_metrics(games(spark, made(60)), n_trees=3).first()
     assert set(stored["oob"]) == {*model.TARGETS, *[f"{t}_predicted" for t in model.TARGETS], "votes"}
+
+
+def test_small_nodes_are_grown_together_as_apart(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(0, 9, (900, 2)), rng.normal(size=(900, 1))], axis=1)
+    x[rng.random(900) < 0.1, 0] = np.nan
+    y, w = rng.integers(0, 7, (900, 2)).astype(float), rng.integers(1, 4, 900).astype(float)
+    whole = forest.grow_rows(x, y, w, None)
+    for together, small, at_once in ((60, 20, 100), (200, 200, 10**6)):
+        for name, value in (("TOGETHER", together), ("SMALL", small), ("COUNTED_AT_ONCE", at_once)):
+            monkeypatch.setattr(forest, name, value)
+        parts = forest.grow_rows(x, y, w, None)
+        assert len(parts["feature"]) == len(whole["feature"])
+        assert sorted(zip(parts["feature"], parts["threshold"], parts["weight"])) == sorted(zip(whole["feature"], whole["threshold"], whole["weight"]))
+        assert np.allclose(parts["value"][forest.walk(parts, x)], whole["value"][forest.walk(whole, x)])
+
+
+def test_features_of_few_values_are_not_gone_through_in_order_at_every_level(monkeypatch):
+    rng = np.random.default_rng(11)
+    n, width = 4000, 6
+    x, y = rng.integers(0, 30, (n, width)).astype(float), rng.integers(0, 7, (n, 2)).astype(float)
+    added, cumsum = [], np.cumsum
+
+    def counted(a, *args, **kwargs):
+        added.append(len(a))
+        return cumsum(a, *args, **kwargs)
+
+    monkeypatch.setattr(np, "cumsum", counted)
+    grown = forest.grow_rows(x, y, np.ones(n), None)
+    depth = np.zeros(len(grown["feature"]), dtype=int)
+    for i in np.flatnonzero(grown["feature"] >= 0):
+        depth[grown["left"][i]] = depth[grown["right"][i]] = depth[i] + 1
+    open_rows = sum((depth[forest.walk(grown, x)] > d).sum() for d in range(depth.max()))
+    assert sum(added) < open_rows * width
+
+
+def test_rows_are_dealt_in_few_bytes_and_come_back():
+    rng = np.random.default_rng(12)
+    columns = np.array([
+        rng.integers(-128, 128, 500), rng.integers(0, 30_000, 500), rng.integers(0, 10**9, 500), rng.integers(0, 10**12, 500),
+        rng.normal(size=500), rng.integers(0, 9, 500) / 4, np.where(rng.random(500) < 0.1, np.nan, 3.0),
+        np.where(rng.random(500) < 0.1, np.inf, 3.0), np.zeros(500), np.full(500, 1e300),
+    ])
+    narrow = forest._narrowed(columns)
+    assert [c.itemsize for c in narrow] == [1, 2, 4, 8, 8, 4, 4, 4, 1, 8]
+    parts = [np.arange(0, 500, 3), np.arange(0), np.arange(100, 101)]
+    blobs = [pa.py_buffer(forest._packed(narrow, rows)) for rows in parts]
+    for column, back in zip(columns, forest._unpacked(blobs, len(columns))):
+        assert np.array_equal(back, column[np.concatenate(parts)], equal_nan=True)
+
+
+def test_a_tree_of_many_rows_is_split_between_any_two_values(spark):
+    # Before, more than 65,536 rows were split between quantiles, level by level.
+    rows = forest.numbered(spark.range(70_000).selectExpr(
+        "id AS gameId", "'20002001' AS seasonName", "double(id >= 12345) AS homeTeamScore", "0d AS awayTeamScore", "'REG' AS lastPeriod"
+    ))
+    nodes = forest.grow(rows, n_trees=1, bootstrap=False)
+    assert nodes.where("feature >= 0").select("part", "threshold").collect() == [(0, 12344.5)] and nodes.count() == 4
