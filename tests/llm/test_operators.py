@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 from check_oracle import compare, connect
+from pyspark.sql import functions as F
 
 from tallyboard.llm import chat, decontam, jaccard, lines, passages, pieces, pii, queries, subword, tokens, url_filter
 
@@ -667,3 +668,16 @@ def test_pieces(spark, awkward):
     got = pieces.digest(awkward).collect()
     assert sum(not r.round_trip for r in got) == 1  # the text with a mark of its own
     assert pieces.digest(awkward.limit(0)).count() == 0
+
+
+def test_common_seeds_without_a_window_to_look_for_are_not_sent(spark):
+    # 20 copies of 80 words, covered by passages but for those of the last one, and 20 of 60 others, all covered.
+    copied, other = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("w", 80), ("v", 60)))
+    texts = spark.createDataFrame([(i, copied if i < 20 else other) for i in range(40)], "doc_id long, text string")
+    texts = texts.withColumn("doc", F.xxhash64("doc_id", "text")).cache()
+    common = passages.tied(passages.seeds(texts, 8)).where("a = b")
+    known = texts.where("doc_id <> 19").select("doc", F.lit(0).alias("begin"), F.lit(80).alias("end"))
+    around = passages.surroundings(texts, common, known, 50, 10)
+    # A seed that always follows the same word counts once, with the first word of its text.
+    assert around.where("wanted <> 0").count() == 1 and around.select("key").distinct().count() == 1 and around.count() == 20
+    assert passages.surroundings(texts, common, texts.select("doc", F.lit(0).alias("begin"), F.lit(80).alias("end")), 50, 10).count() == 0
